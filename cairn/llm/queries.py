@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from cairn.llm import chat, mixing
+from cairn.llm.chat import op4_chat_round_trip
+from cairn.llm.mixing import op9_pareto_mix
 from cairn.llm.quality import op2_quality_llr
 
 QUERIES = {
     "op2_quality_llr": op2_quality_llr,
+    "op4_chat_round_trip": op4_chat_round_trip,
+    "op9_pareto_mix": op9_pareto_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_round_trip": chat.ORACLE,
+    "op9_pareto_mix": mixing.ORACLE,
+}
