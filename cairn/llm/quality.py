@@ -27,37 +27,60 @@ class QualityConfig:
     scale: int = 1_000_000
 
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 
 
-def _bucket(gram: Column, cfg: QualityConfig) -> Column:
-    return (F.crc32(gram.cast("binary")) % cfg.buckets).cast("int")
-
-
-def _grams(w: Column, cfg: QualityConfig) -> Column:
-    """Buckets of all words and all pairs of adjacent words."""
+def _grams(crc: Column, cfg: QualityConfig) -> Column:
+    """Buckets of all words and of all pairs of adjacent words, from the words' crc32."""
+    n = F.greatest(F.size(crc) - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-        F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda a, b: _bucket(F.concat(a, F.lit(" "), b), cfg),
+        F.slice(crc, 1, n), F.slice(crc, 2, n), lambda a, b: ((a * 31 + b) % cfg.buckets).cast("int")
     )
-    return F.concat(F.transform(w, lambda x: _bucket(x, cfg)), pairs)
+    return F.concat(F.transform(crc, lambda x: (x % cfg.buckets).cast("int")), pairs)
 
 
-def repeated_words(w: Column, width: int = 3) -> Column:
-    """Words that stand in a ``width``-word window found twice or more in the text.
+def word_crcs(w: Column) -> Column:
+    return F.transform(w, lambda x: F.crc32(x.cast("binary")))
 
-    Windows are compared by 64-bit hashes. Most texts repeat none and end after one
-    linear pass; the others sort their windows and count the covered positions.
-    """
+
+def window_hashes(w: Column, width: int = 3) -> Column:
+    """64-bit hashes of all windows of ``width`` words, in order; none for fewer words."""
     n = F.size(w)
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))),
-        lambda i: F.xxhash64(*[F.get(w, i - 1 + k) for k in range(width)]),
+    return F.when(
+        n >= width,
+        F.transform(
+            F.sequence(F.lit(0), n - width),
+            lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]),
+        ),
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeated_words(hashes: Column, repeated: Column, width: int = 3) -> Column:
+    """Words that stand in a window found twice or more in the text.
+
+    ``hashes`` are the windows in order, ``repeated`` the distinct values found twice.
+    A few repeated windows are looked up; texts with many sort their windows instead, so
+    that no text costs more than a sort.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-width).alias("p"))
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            at,
+            start,
+            lambda acc, p: F.struct(
+                (acc["n"] + F.least(p - acc["p"], F.lit(width))).alias("n"), p.alias("p")
+            ),
+            lambda acc: acc["n"],
+        )
+
+    few = F.filter(
+        F.transform(hashes, lambda h, i: F.when(F.array_contains(repeated, h), i).otherwise(-1)),
+        lambda i: i >= 0,
     )
     ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def covered(s: Column) -> Column:
+    def many(s: Column) -> Column:
         last = F.size(s) - 1
         flagged = F.transform(
             s,
@@ -67,42 +90,41 @@ def repeated_words(w: Column, width: int = 3) -> Column:
                 x["i"],
             ).otherwise(F.lit(-1)),
         )
-        at = F.array_sort(F.filter(flagged, lambda i: i >= 0))
-        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-width).alias("p"))
-        return F.aggregate(
-            at,
-            start,
-            lambda acc, p: F.struct(
-                (acc["n"] + F.least(p - acc["p"], F.lit(width))).alias("n"), p.alias("p")
-            ),
-            lambda acc: acc["n"],
-        )
+        return covered(F.array_sort(F.filter(flagged, lambda i: i >= 0)))
 
-    # a one-element array binds the sorted windows once for the lambda below
-    counted = F.element_at(F.transform(F.array(ranked), covered), 1)
-    return F.when(
-        (n >= width) & (F.size(F.array_distinct(hashes)) < n - (width - 1)), counted
-    ).otherwise(F.lit(0).cast("bigint"))
+    # a one-element array binds the sorted windows once
+    sorted_path = F.element_at(F.transform(F.array(ranked), many), 1)
+    return (
+        F.when(F.size(repeated) == 0, F.lit(0).cast("bigint"))
+        .when(F.size(repeated) <= 32, covered(few))
+        .otherwise(sorted_path)
+    )
 
 
 def base_features(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_w`` (words) and the base counts of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
-    with_words = docs.withColumn("_w", words(F.col("text")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = F.col("_w")
+    # arrays used more than once are columns of their own, so that each is made once
+    with_words = docs.withColumn("_w", words(F.col("text"))).withColumn("_l", lines)
     return (
         with_words.withColumn("n_words", F.size(w).cast("bigint"))
-        .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("bigint"))
+        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("bigint"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint"))
         .withColumn(
-            "n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint")
+            "n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint")
         )
-        .withColumn("_l", lines)
+        .withColumn("_win", window_hashes(w))
+        .withColumn("_sorted", F.sort_array("_win"))
         .withColumn(
-            "n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint")
+            "_rep",
+            F.array_distinct(
+                F.filter("_sorted", lambda x, i: (i > 0) & (x == F.get("_sorted", F.greatest(i - 1, F.lit(0)))))
+            ),
         )
-        .drop("_l")
-        .withColumn("n_repeat_words", repeated_words(w))
+        .withColumn("n_repeat_words", repeated_words(F.col("_win"), F.col("_rep")))
+        .drop("_l", "_win", "_sorted", "_rep")
     )
 
 
@@ -126,7 +148,10 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> lis
     counts = (
         docs.select("doc_id", F.col("text"))
         .join(target, "doc_id", "left")
-        .select("_t", F.explode(_grams(words(F.col("text")), cfg)).alias("b"))
+        .select("_t", word_crcs(words(F.col("text"))).alias("_c"))
+        # an outer explode: the planner would else infer a filter that makes all grams twice
+        .select("_t", F.explode_outer(_grams(F.col("_c"), cfg)).alias("b"))
+        .filter("b is not null")
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
     )
@@ -156,9 +181,9 @@ def score_quality(
     cfg = cfg or QualityConfig()
     weights = ratio_weights(docs, labels, cfg)
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    feats = base_features(docs)
+    feats = base_features(docs).withColumn("_c", word_crcs(F.col("_w")))
     total = F.aggregate(
-        _grams(F.col("_w"), cfg), F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b)
+        _grams(F.col("_c"), cfg), F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b)
     )
     n = F.col("n_words")
     grams = F.greatest(2 * n - 1, F.lit(1))
@@ -166,7 +191,7 @@ def score_quality(
         feats.withColumn("score", total / (grams * cfg.scale))
         .withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cfg.threshold))
-        .drop("_w")
+        .drop("_w", "_c")
     )
 
 
