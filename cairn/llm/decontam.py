@@ -154,6 +154,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     found = spark.createDataFrame([], out)
+    for indexes in _indexes(benchmark):
+        found = found.union(docs.select("doc_id", "text").mapInArrow(search(indexes), out))
+    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that contain an item, all columns untouched."""
+
+    def keep(indexes):
+        def run(batches):
+            own = indexes.value
+            for batch in batches:
+                clean = []
+                for t in batch.column("text").to_pylist():
+                    words = split_words(t)
+                    clean.append(not any(True for x in own for _ in x.contained(words)))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for indexes in _indexes(benchmark):
+        docs = docs.mapInArrow(keep(indexes), docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame):
+    """Broadcast indexes of the items, block by block."""
     for block in _blocks(benchmark):
         by_width: dict[int, list] = {}
         for r in block:
@@ -161,11 +188,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if w:
                 by_width.setdefault(min(len(w), WIDTH), []).append((r["item_id"], w))
         if by_width:
-            indexes = spark.sparkContext.broadcast(
+            yield benchmark.sparkSession.sparkContext.broadcast(
                 [ItemIndex(items, width) for width, items in sorted(by_width.items())]
             )
-            found = found.union(docs.select("doc_id", "text").mapInArrow(search(indexes), out))
-    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
 def _blocks(benchmark: DataFrame):
