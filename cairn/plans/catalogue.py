@@ -1,6 +1,582 @@
-"""Registry of the catalog queries and the SQL that checks them."""
+"""Registry of the catalog queries; the SQL that checks them is in :mod:`cairn.plans.oracle`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import text as txt
+from cairn.functions.versions import tag_key
+from cairn.operators import cdc, gc, graph, ingest, layout, matrix, merge, refnorm, report, serve
+from cairn.plans.oracle import ORACLES  # noqa: F401
+from cairn.sources import derive as d
+from cairn.sources.derive import DAY, NOW
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# -- graph ---------------------------------------------------------------------
+@query
+def live_set_by_root(s, sf):
+    """Per root the paths it holds, and of them those that references reach, with bytes."""
+    paths, roots = d.paths(s, sf), d.root_members(s, sf)
+    reached = graph.reachable(d.references(s, sf), d.members(s, sf), roots)
+    size = paths.select("path", "nar_size").join(reached.select("path"), "path", "left_semi")
+    own = roots.join(size, "path").groupBy("root_key").agg(F.count(F.lit(1)).alias("paths"), F.sum("nar_size").alias("bytes"))
+    every = size.agg(F.lit("(all)").alias("root_key"), F.count(F.lit(1)).alias("paths"), F.sum("nar_size").alias("bytes"))
+    return own.union(every)
+
+
+@query
+def reachable_paths(s, sf):
+    return graph.reachable(d.references(s, sf), d.members(s, sf), d.root_members(s, sf)).select(
+        "path", F.col("level").cast("bigint").alias("level")
+    )
+
+
+@query
+def mark_reachable(s, sf):
+    reached = graph.reachable(d.references(s, sf), d.members(s, sf), d.root_members(s, sf))
+    return graph.mark_reachable(d.paths(s, sf).select("path", "last_reachable"), reached, NOW)
+
+
+def _starts(s, sf):
+    return d.members(s, sf).filter("doc_id % 50 = 0").select("path")
+
+
+@query
+def closure_with_status(s, sf):
+    return graph.query_closure(d.references(s, sf), d.members(s, sf), _starts(s, sf)).select("path", "status")
+
+
+def _dag(s, sf):
+    """References that point to smaller ids only: no cycles."""
+    i = F.col("doc_id")
+    ids = d.table(s, sf, "documents").select("doc_id")
+    to = F.array(F.floor(i / 3), F.when(F.floor(i / 5) + 1 < i, F.floor(i / 5) + 1))
+    rows = ids.select("doc_id", F.explode(to).alias("to")).filter("to IS NOT NULL AND to < doc_id")
+    return rows.select(d.path_of(i).alias("src"), d.path_of(F.col("to")).alias("dst")).distinct()
+
+
+@query
+def closure_levels(s, sf):
+    return graph.closure_levels(_dag(s, sf), d.members(s, sf).select("path")).select(
+        "path", F.col("level").cast("bigint").alias("level")
+    )
+
+
+@query
+def closure_order(s, sf):
+    return graph.closure_order(d.references(s, sf), d.members(s, sf), _starts(s, sf))
+
+
+@query
+def drv_bypass(s, sf):
+    drvs = d.members(s, sf).filter("doc_id % 97 = 0").select("path")
+    return ingest.drv_bypass(d.references(s, sf), d.members(s, sf), drvs)
+
+
+# -- chunks and packs --------------------------------------------------------------
+@query
+def chunk_dedup_ratio(s, sf):
+    return report.dedup_ratio(d.file_chunks(s, sf).select("chunk", "size"))
+
+
+@query
+def dedup_by_lang(s, sf):
+    return report.dedup_ratio(d.file_chunks(s, sf).select("lang", "chunk", "size"), ["lang"])
+
+
+@query
+def new_bytes_per_generation(s, sf):
+    return report.new_bytes_per_generation(d.file_chunks(s, sf).select("source", "chunk", "size"), "source")
+
+
+@query
+def last_generations(s, sf):
+    names = d.table(s, sf, "part").select(
+        F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("profile-"), F.col("p_partkey").cast("string")))
+        .otherwise(F.concat(F.lit("system-"), F.col("p_partkey").cast("string"), F.lit("-link"))).alias("name")
+    )
+    return report.last_generations(names, 5)
+
+
+@query
+def first_seen_chunks(s, sf):
+    return d.first_seen(d.file_chunks(s, sf).drop("data")).select("chunk", "doc_id", "pos")
+
+
+@query
+def new_chunks(s, sf):
+    fc = d.file_chunks(s, sf).select("doc_id", "chunk", "size")
+    return ingest.new_chunks(fc.filter("doc_id % 2 = 1").select("chunk", "size"), fc.filter("doc_id % 2 = 0"))
+
+
+@query
+def wire_encode_locations(s, sf):
+    return layout.wire_encode(d.locations(s, sf))
+
+
+@query
+def wire_decode_locations(s, sf):
+    return layout.wire_decode(layout.wire_encode(d.locations(s, sf)))
+
+
+@query
+def pack_layout_greedy(s, sf):
+    first = d.first_seen(d.file_chunks(s, sf).drop("data"))
+    return layout.greedy_packs(first, "source", ["doc_id", "pos"], d.PACK_BYTES).select("source", "chunk", "pack_no", "offset")
+
+
+def _sparse(s, sf):
+    """Two chunks in three: spans with gaps."""
+    loc = d.locations(s, sf)
+    ends = layout.pack_index(loc).select("pack", F.col("end").alias("pack_end"))
+    return loc.join(ends, "pack").filter(F.conv(F.substring("chunk", 1, 4), 16, 10).cast("bigint") % 3 != 0)
+
+
+@query
+def pack_index(s, sf):
+    return layout.pack_index(d.locations(s, sf)).select(
+        "pack", "spans", "end", F.array_join(F.transform("index", lambda x: x["chunk"]), ",").alias("chunks")
+    )
+
+
+@query
+def adjacent_runs(s, sf):
+    return layout.adjacent_runs(_sparse(s, sf))
+
+
+@query
+def pack_read_plan(s, sf):
+    return layout.plan_pack_reads(_sparse(s, sf), 256, 2048)
+
+
+@query
+def chunks_in_reads(s, sf):
+    return layout.chunks_in_reads(d.locations(s, sf), layout.plan_pack_reads(_sparse(s, sf), 256, 2048))
+
+
+@query
+def export_windows(s, sf):
+    items = d.table(s, sf, "documents").select("source", "doc_id", d.path_of(F.col("doc_id")).alias("path"), F.octet_length("text").cast("bigint").alias("size"))
+    return layout.export_windows(items, "source", ["doc_id"], 8192).select("source", "path", "window")
+
+
+@query
+def layout_dump(s, sf):
+    return report.layout_dump(d.file_chunks(s, sf).drop("data"), d.locations(s, sf), d.references(s, sf), d.members(s, sf))
+
+
+# -- merge ---------------------------------------------------------------------------
+def _versions(df, n=3):
+    return [df(v) for v in range(n)]
+
+
+@query
+def merge_paths(s, sf):
+    p = d.paths(s, sf)
+    v = lambda i: p.filter((F.col("doc_id") + i) % 3 != 0).select(
+        "path", "nar_hash", (F.col("nar_size") + i).alias("nar_size"),
+        (F.col("last_pushed") + (F.col("doc_id") * (i + 1)) % 3).alias("last_pushed"),
+        (F.col("last_reachable") + (F.col("doc_id") * (i + 2)) % 5).alias("last_reachable"),
+    )
+    return merge.merge_paths(*_versions(v))
+
+
+@query
+def merge_chunks(s, sf):
+    l = d.locations(s, sf)  # noqa: E741
+    v = lambda i: l.select(
+        "chunk", F.when(F.lit(i == 2), F.sha2("pack", 256)).otherwise(F.col("pack")).alias("pack"), (F.col("offset") + i).alias("offset"),
+        "csize", "usize", ((F.col("survived") * (i + 1)) % 4).alias("survived"),
+    )
+    return merge.merge_chunks(*_versions(v))
+
+
+@query
+def merge_packs(s, sf):
+    p = d.packs(d.locations(s, sf))
+    v = lambda i: p.select("pack", (F.col("size") - i).alias("size"), (F.col("created") + i * F.col("k")).alias("created"), ((F.col("tier") + i) % 2).alias("tier"))
+    return merge.merge_packs(*_versions(v))
+
+
+@query
+def merge_roots(s, sf):
+    r = d.root_members(s, sf)
+    v = lambda i: r.filter(F.conv(F.substring("path", 1, 2), 16, 10).cast("bigint") % 3 != i).select(
+        "root_key", "path", (F.col("updated") + (F.length("root_key") * (i + 1)) % 2).cast("bigint").alias("updated"),
+        F.concat(F.lit("run-"), F.lit(str(i // 2))).alias("run_id"), F.lit(i).alias("version"),
+    )
+    return merge.merge_roots(*_versions(v))
+
+
+# -- collector ------------------------------------------------------------------------
+def _catalog(s, sf):
+    loc = d.locations(s, sf)
+    return {
+        "paths": d.paths(s, sf).drop("doc_id"), "references": d.references(s, sf),
+        "file_chunks": d.file_chunks(s, sf).select("path", "chunk"), "chunks": loc.drop("k"),
+        "packs": d.packs(loc), "roots": d.root_members(s, sf).select("root_key", "path", "updated"),
+    }
+
+
+def _plan(s, sf, **policy):
+    cat = _catalog(s, sf)
+    return gc.Plan(cat, d.observations(s, sf, cat["packs"]), NOW, gc.GcPolicy(**policy))
+
+
+@query
+def observed_lru(s, sf):
+    return gc.observed_lru(d.observations(s, sf, d.packs(d.locations(s, sf))))
+
+
+@query
+def recent_packs(s, sf):
+    return gc.recent_packs(d.observations(s, sf, d.packs(d.locations(s, sf))), NOW, DAY)
+
+
+@query
+def protected_packs(s, sf):
+    p = d.packs(d.locations(s, sf))
+    return p.filter("k % 3 = 0").select("pack").union(p.filter("k % 2 = 0").select("pack")).distinct()
+
+
+@query
+def gc_evicted(s, sf):
+    return _plan(s, sf).evicted
+
+
+@query
+def gc_heal(s, sf):
+    return _plan(s, sf).heal
+
+
+@query
+def gc_drop_roots(s, sf):
+    return _plan(s, sf).drop_roots
+
+
+@query
+def gc_drop_paths(s, sf):
+    return _plan(s, sf).drop_paths
+
+
+@query
+def gc_pack_liveness(s, sf):
+    return _plan(s, sf).pack_stats.select("pack", "tier", "chunk_bytes", "live_bytes", "live_chunks", "fully_live")
+
+
+@query
+def gc_repack_copies(s, sf):
+    return _plan(s, sf).copies.select("tier", "pack", "offset", "chunk", "csize")
+
+
+@query
+def gc_delete_packs(s, sf):
+    return _plan(s, sf, max_volatile_packs=10_000_000).delete_packs
+
+
+@query
+def gc_touch_packs(s, sf):
+    return _plan(s, sf, max_volatile_packs=10_000_000).touch_packs.select("pack", "ordinal")
+
+
+@query
+def gc_orphans(s, sf):
+    return _plan(s, sf).orphan_keys
+
+
+@query
+def gc_plan_summary(s, sf):
+    return _plan(s, sf).summary()
+
+
+@query
+def gc_apply_chunks(s, sf):
+    p = _plan(s, sf)
+    moved, new = gc.relocate(p.copies, NOW, d.PACK_BYTES)
+    return p.apply(moved, new)["chunks"].select("chunk", "csize", F.col("survived").cast("bigint").alias("survived"))
+
+
+@query
+def gc_apply_packs(s, sf):
+    """The packs that stay when nothing is repacked."""
+    return _plan(s, sf).apply()["packs"].select("pack", "size", "created", "tier")
+
+
+@query
+def manifest_versions_to_delete(s, sf):
+    k = F.col("p_partkey")
+    rows = d.table(s, sf, "part").filter(k <= 60).select(
+        F.when(k % 7 == 0, F.concat(F.lit("m3#0"), k.cast("string"))).when(k % 5 == 0, F.concat(F.lit("m2#"), k.cast("string")))
+        .otherwise(F.concat(F.lit("m3#"), k.cast("string"))).alias("key"),
+        F.when(k % 9 == 0, 0).otherwise(NOW - k * 120).alias("created"),
+    )
+    return report.versions_to_delete(rows, "m3", NOW, 3600)
+
+
+# -- ingest ---------------------------------------------------------------------------
+def _requests(s, sf):
+    """Added paths of the event stream: some malformed, some unknown."""
+    u = F.col("user_id")
+    e = d.table(s, sf, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    path = F.when(u % 41 == 0, F.concat(F.lit("bad-"), u.cast("string"))).otherwise(d.path_of(u))
+    return e.select(path.alias("path")).distinct()
+
+
+def _info(s, sf):
+    i = F.col("doc_id")
+    sign = F.when(i % 6 == 0, F.array(F.lit("cache.example-1:sig"))).when(i % 6 == 1, F.array(F.lit("cache.example-10:sig"), F.lit("own:sig"))).otherwise(F.array().cast("array<string>"))
+    return d.paths(s, sf).filter("doc_id % 8 <> 7").select("path", "nar_size", sign.alias("signatures"))
+
+
+def _outcomes(s, sf):
+    found = ingest.lookup(_requests(s, sf), _info(s, sf))
+    stored = d.members(s, sf).filter("doc_id % 4 = 0")
+    drvs = d.members(s, sf).filter("doc_id % 97 = 0").select("path")
+    free = ingest.drv_bypass(d.references(s, sf), d.members(s, sf), drvs)
+    return ingest.classify(found, stored, free, ["cache.example-1"])
+
+
+@query
+def lookup_status(s, sf):
+    return ingest.lookup(_requests(s, sf), _info(s, sf)).select("path", "status", "nar_size")
+
+
+@query
+def drain_classify(s, sf):
+    return _outcomes(s, sf).select("path", "outcome")
+
+
+@query
+def drain_stats(s, sf):
+    return ingest.drain_stats(_outcomes(s, sf))
+
+
+@query
+def drain_summary(s, sf):
+    n = F.col("p_partkey")
+    stats = d.table(s, sf, "part").select(
+        "p_partkey", (n % 4).alias("pushed"), (n % 3).alias("skipped_existing"), (n % 5).alias("skipped_upstream"),
+        (n % 2).alias("skipped_invalid"), F.when(n % 11 == 0, 1).otherwise(0).alias("failed_verification"),
+        F.when(n % 13 == 0, 2).otherwise(0).alias("failed_chunking"), (n % 3).alias("packs_uploaded"), (n * 4571).alias("bytes_uploaded"),
+        (n % 7 * 100).alias("upload_ms"), (n * 10).alias("elapsed_ms"), (n % 6).alias("manifest_version"),
+    )
+    return ingest.summarize(stats, "m3").select("p_partkey", "summary")
+
+
+@query
+def root_from_access_log(s, sf):
+    e = d.table(s, sf, "events")
+    of = lambda *kinds: e.filter(F.col("event_type").isin(*kinds)).select(d.path_of(F.col("user_id")).alias("path"))
+    existing = d.members(s, sf).filter("doc_id % 7 = 0").select("path")
+    return ingest.root_members(of("purchase", "signup"), of("view", "click"), existing)
+
+
+@query
+def ingest_stream_replay(s, sf):
+    """Add requests as a file stream, drained into a versioned store, then read back."""
+    import uuid
+
+    from cairn.session import shared_dir
+    from cairn.sources.store import VersionStore
+    from cairn.streaming.ingest import drain
+
+    top = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    add = _requests(s, sf).select(F.to_json(F.struct(F.lit("add").alias("op"), F.array("path").alias("paths"))).alias("value"))
+    add.repartition(3, "value").write.text(f"{top}/in")
+    store = VersionStore(s, f"{top}/catalog", "m3")
+    source = s.readStream.schema("value string").option("maxFilesPerTrigger", 2).text(f"{top}/in")
+    drain(s, source, store, f"{top}/state", NOW)
+    return store.load()["paths"].select("path", "last_pushed")
+
+
+# -- serving -----------------------------------------------------------------------------
+@query
+def available_paths(s, sf):
+    loc = d.locations(s, sf)
+    p = d.packs(loc)
+    missing = serve.missing_packs(p, p.filter("k % 9 <> 4"), 10_000_000)
+    return serve.available_paths(d.members(s, sf), d.file_chunks(s, sf).select("path", "chunk"), loc, missing)
+
+
+@query
+def narinfo_text(s, sf):
+    return serve.narinfo(d.paths(s, sf), d.references(s, sf))
+
+
+@query
+def nar_hash_index(s, sf):
+    return serve.nar_hash_index(d.paths(s, sf).select("path", "nar_hash"))
+
+
+@query
+def cache_info(s, sf):
+    return serve.cache_info(s)
+
+
+@query
+def reassemble_and_verify(s, sf):
+    """Documents rebuilt from their lines; texts with empty lines differ, since empty
+    input has no chunk."""
+    fc = d.file_chunks(s, sf).select("path", "pos", "chunk", "data")
+    text = serve.reassemble(fc, fc.select("chunk", "data").dropDuplicates(["chunk"]))
+    return serve.verified(text, d.paths(s, sf))
+
+
+# -- matrix ------------------------------------------------------------------------------
+def _jobs(s, sf):
+    n = F.col("p_partkey")
+    system = F.element_at(F.array(*map(F.lit, ("x86_64-linux", "aarch64-linux", "aarch64-darwin", "riscv64-linux"))), (n % 4 + 1).cast("int"))
+    os = F.when(n % 26 == 0, ',"os":["big","fast"]').when(n % 13 == 0, ',"os":"custom"').otherwise("")
+    grp = F.when(n % 5 == 0, F.format_string(',"group":"g%d"', n % 40)).otherwise("")
+    meta = F.concat(F.lit('{"build":{"x":0'), os, grp, F.lit("}}"))
+    line = F.format_string('{"attr":"a.%d","drvPath":"/store/%d.drv","system":"%s","isCached":%s,"meta":%s}', n, n % 700, system, (n % 11 == 0).cast("string"), meta)
+    return matrix.check(matrix.parse_jobs(d.table(s, sf, "part").select(n.alias("line_no"), line.alias("line"))))
+
+
+def _rows(s, sf):
+    return matrix.plan_rows(_jobs(s, sf), matrix.runner_map(["x86_64-linux=self-hosted, x64"]), "checks.", skip_unmapped=True)
+
+
+@query
+def matrix_rows(s, sf):
+    return _rows(s, sf).select("line_no", "attr", "drv_path", "system", F.array_join("os", ",").alias("os"), F.coalesce("grp", F.lit("")).alias("grp"))
+
+
+@query
+def matrix_groups(s, sf):
+    return matrix.collapse_groups(_rows(s, sf)).select(
+        "line_no", "name", "attr", "drv_path", "system", F.array_join("os", ",").alias("os"), "installables", "mixed"
+    )
+
+
+@query
+def matrix_json(s, sf):
+    return matrix.outputs(matrix.collapse_groups(_rows(s, sf)), 7)
+
+
+@query
+def matrix_drvs(s, sf):
+    return matrix.registered_drvs(_jobs(s, sf))
+
+
+@query
+def runner_map(s, sf):
+    made = matrix.runner_map(["x86_64-linux=self-hosted, x64", "riscv64-linux=rv"])
+    return s.createDataFrame([(k, ",".join(v)) for k, v in made.items()], "system string, labels string")
+
+
+# -- text ---------------------------------------------------------------------------------
+@query
+def parse_timestamps(s, sf):
+    e = d.table(s, sf, "events").filter("event_id < 1000")
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    i = F.col("event_id")
+    text = (
+        F.when(i % 6 == 0, F.concat(base, F.lit("Z"))).when(i % 6 == 1, F.concat(base, F.lit(".5Z"))).when(i % 6 == 2, F.concat(base, F.lit("+00:00")))
+        .when(i % 6 == 3, F.concat(base, F.lit("+01:00"))).when(i % 6 == 4, F.concat(base, F.lit(".Z"))).otherwise(F.concat(F.substring(base, 1, 8), F.lit("31T23:59:60Z")))
+    )
+    sec = txt.parse_timestamp(text)
+    return e.select("event_id", sec.alias("sec"), txt.format_timestamp(sec).alias("stamp"))
+
+
+@query
+def human_bytes(s, sf):
+    n = F.col("p_partkey")
+    size = F.when(n % 3 == 0, n).when(n % 3 == 1, n * n * 1021).otherwise(n * n * n * 524287)
+    return d.table(s, sf, "part").select("p_partkey", txt.human_bytes(size).alias("text"))
+
+
+@query
+def key_parsing(s, sf):
+    n = F.col("p_partkey")
+    hexed = F.sha2(n.cast("string"), 256)
+    key = F.when(n % 3 == 0, F.concat(F.lit("pack-"), hexed)).when(n % 3 == 1, F.concat(F.lit("pack-"), F.upper(hexed))).otherwise(F.concat(F.lit("m3#"), F.when(n % 2 == 0, "0").otherwise(""), n.cast("string")))
+    b64 = F.base64(F.unhex(hexed))
+    sri = F.when(n % 4 == 0, F.concat(F.lit("sha256-"), b64)).when(n % 4 == 1, F.concat(F.lit("sha256:"), hexed)).when(n % 4 == 2, hexed).otherwise("sha256-bad")
+    r = txt.parse_range(txt.format_range(n, n * 3))
+    return d.table(s, sf, "part").select(
+        "p_partkey", gc.parse_pack_key(key).alias("pack"), txt.version_index(key, "m3").alias("version"), txt.parse_sha256(sri).alias("digest"),
+        txt.store_path_key(F.concat(F.lit("/store/"), hexed, F.lit("-name"))).alias("store_key"), r["end"].alias("range_end"),
+    )
+
+
+@query
+def tag_order(s, sf):
+    """Release tags in ascending order of version."""
+    from pyspark.sql import Window
+
+    n = F.col("p_partkey")
+    tag = F.concat(F.lit("v"), (n % 3).cast("string"), F.lit("."), (n % 12).cast("string"), F.when(n % 2 == 0, F.concat(F.lit("-rc."), (n % 11).cast("string"))).otherwise(""))
+    tags = d.table(s, sf, "part").select(tag.alias("tag")).distinct()
+    return tags.select("tag", F.row_number().over(Window.orderBy(tag_key(F.col("tag")))).cast("bigint").alias("ordinal"))
+
+
+# -- byte kernels ----------------------------------------------------------------------------
+def _files(s, sf):
+    docs = d.table(s, sf, "documents")
+    return docs.select(d.path_of(F.col("doc_id")).alias("path"), F.col("text").cast("binary").alias("data"), F.substring("source", 4, 9).cast("bigint").alias("generation"))
+
+
+SMALL = cdc.ChunkParams(256, 1024, 4096)
+
+
+@query
+def cdc_chunks(s, sf):
+    return cdc.chunk_data(_files(s, sf), SMALL, keep_data=False)
+
+
+@query
+def cdc_sweep(s, sf):
+    return cdc.sweep(_files(s, sf), [512, 1024, 2048])
+
+
+def _frames(s, sf):
+    fc = d.file_chunks(s, sf)
+    first = d.first_seen(fc.drop("data")).select("chunk", "source", "doc_id", "pos", "size")
+    data = fc.select("chunk", F.col("data").cast("binary").alias("data")).dropDuplicates(["chunk"])
+    return first, cdc.compress(data.join(first.select("chunk", "size"), "chunk"))
+
+
+@query
+def zstd_packs(s, sf):
+    first, frames = _frames(s, sf)
+    rows = frames.join(first.select("chunk", "source", "doc_id", "pos"), "chunk")
+    return cdc.build_packs(rows, "source", ["doc_id", "pos"], d.PACK_BYTES).select("source", "pack_no", "pack", "size")
+
+
+@query
+def extract_verify(s, sf):
+    _, frames = _frames(s, sf)
+    return cdc.extract(frames.withColumnRenamed("size", "usize")).select("chunk", "ok", F.octet_length("data").alias("bytes"))
+
+
+def _referring(s, sf):
+    """Texts with the path keys of their references written into them."""
+    refs = d.references(s, sf).groupBy(F.col("src").alias("path")).agg(refnorm.ref_table(F.collect_set("dst")).alias("refs"))
+    docs = d.table(s, sf, "documents").select(d.path_of(F.col("doc_id")).alias("path"), "text")
+    body = F.concat(F.substring("text", 1, 100), F.array_join("refs", "/"), F.expr("substring(text, 101)"), F.get("refs", F.lit(0)))
+    return docs.join(refs, "path").select("path", body.cast("binary").alias("data"), "refs")
+
+
+@query
+def refnorm_positions(s, sf):
+    made = refnorm.normalize(_referring(s, sf))
+    return made.select("path", F.inline("rewrites")).select("path", "offset", F.col("ref_index").cast("bigint").alias("ref_index"))
+
+
+@query
+def refnorm_restore(s, sf):
+    files = _referring(s, sf)
+    back = refnorm.restore(refnorm.normalize(files).join(files.select("path", "refs"), "path"))
+    return back.join(files.select("path", F.col("data").alias("own")), "path").select("path", (F.col("data") == F.col("own")).alias("same"))
