@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed value: the alphabet leaves out e, o, t and u
 ALPHABET = "0123456789abcdfghijklmnpqrsvwxyz"
@@ -25,12 +26,12 @@ def decode(text: str, size: int) -> bytes | None:
     return number.to_bytes(size, "little") if number < 1 << (8 * size) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hex_to_base32(h: pd.Series) -> pd.Series:
     return h.map(lambda x: None if x is None else encode(bytes.fromhex(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base32_to_hex(s: pd.Series) -> pd.Series:
     def one(x):
         d = None if x is None else decode(x, 32)

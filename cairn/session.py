@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -30,13 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     one machine) a local folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        path = path or tempfile.mkdtemp(prefix="cairn-shared-")
         spark.sparkContext.setCheckpointDir(path)
-    return path
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return path or own.get()
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -45,6 +45,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs between the phases of an
+    operator: they go once the driver's JVM has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows up to which a side may be broadcast after having been counted.
 BROADCAST_ROWS = 1_000_000
 

@@ -70,8 +70,9 @@ class VersionStore:
         ``merge`` means that nothing changed and commits nothing."""
         base = floor
         for _ in range(self.attempts):
-            base = self.newest(base)
-            made = merge(self.load(base) if base else {})
+            current = self.newest()
+            base = max(base, current)
+            made = merge(self.load(current) if current else {})
             if made is None:
                 return base
             tmp = f"{self.root}/_tmp-{uuid.uuid4().hex}"
