@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import shared_dir, small_or_shuffled
+from cairn.session import checkpoint, release_shuffles, shared_dir, small_or_shuffled
 
 MANIFEST = "shard string, run string, rows bigint, bytes bigint, tier int, seq bigint, version bigint"
 
@@ -145,45 +145,65 @@ class ShardStore:
         name = F.concat_ws("-", F.lit("m"), F.col("tier"), F.col("_cut"))
         return cut.withColumn("merge", F.when(F.col("_open") & due, name)).drop("_open", "_cut")
 
+    def settle(self, shards: DataFrame) -> DataFrame:
+        """``shards`` with ``merge``: the merged shard that the rounds of :meth:`plan` lead
+        to, or null for shards that stay. The rounds run on the metadata alone, so that
+        each row is rewritten once however many tiers it climbs."""
+        state = checkpoint(shards.withColumn("merge", F.lit(None).cast("string")))
+        turn = 0
+        while True:
+            turn += 1
+            at = F.coalesce("merge", "shard").alias("shard")
+            now = state.groupBy(at).agg(F.sum("bytes").alias("bytes"), F.min("seq").alias("seq"))
+            now = now.withColumn("tier", self._tier(F.col("bytes")))
+            step = self.plan(now).filter("merge is not null").select(
+                F.col("shard").alias("_at"), F.concat(F.lit(f"{turn}-"), "merge").alias("_to")
+            )
+            step = checkpoint(step)
+            if step.limit(1).count() == 0:
+                return state
+            here = F.coalesce("merge", "shard") == F.col("_at")
+            state = checkpoint(
+                state.join(small_or_shuffled(step), here, "left")
+                .withColumn("merge", F.coalesce("_to", "merge")).drop("_at", "_to")
+            )
+
     def compact(self, schema) -> int:
         """Merges until no tier has a run to merge; returns the live version."""
         while True:
             base = self.version()
-            plan = self.plan(self.manifest(base).drop("version")).cache()
+            plan = self.settle(self.manifest(base).drop("version"))
             merged = plan.filter("merge is not null")
             runs = [r[0] for r in merged.select("run").distinct().collect()]
             if not runs:
-                plan.unpersist()
                 return base
-            n = merged.select("merge").distinct().count()
-            run = f"m{uuid.uuid4().hex}"
-            rows = self._rows(runs, schema)
-            tag = small_or_shuffled(
-                merged.select(F.col("shard").alias("_shard"), "merge", F.col("seq").alias("_seq"))
-            )
-            moved = rows.join(tag, "_shard")
             ids = merged.select("merge").distinct().withColumn(
                 "_to", F.row_number().over(Window.orderBy("merge")) - 1
             )
-            moved = moved.join(small_or_shuffled(ids), "merge")
+            ids = checkpoint(ids)
+            n = ids.count()
+            run = f"m{uuid.uuid4().hex}"
+            tag = small_or_shuffled(
+                merged.join(ids, "merge").select(F.col("shard").alias("_shard"), "_to")
+            )
+            moved = self._rows(runs, schema).join(tag, "_shard")
             # all rows of a merged shard meet in one task, and each shard is one file
             (
                 moved.select(*schema.names, "_to").repartition(n, "_to")
                 .write.partitionBy("_to").option("compression", "zstd")
                 .parquet(f"{self.root}/runs/{run}")
             )
+            release_shuffles(self.spark)
             made = self._listed(run, schema)
             kept = plan.filter("merge is null").drop("merge")
             top = plan.agg(F.max("seq")).first()[0]
             made = made.withColumn("seq", F.lit(top) + F.row_number().over(Window.orderBy("shard")))
-            done = self.commit(kept.unionByName(made), base)
-            gone = [r for r in runs if r not in {x[0] for x in kept.select("run").distinct().collect()}]
-            plan.unpersist()
-            if done:
-                for r in gone:  # no live shard is left in these runs
+            stay = {x[0] for x in kept.select("run").distinct().collect()}
+            if self.commit(kept.unionByName(made), base):
+                for r in set(runs) - stay:  # no live shard is left in these runs
                     self.fs.delete(self.path(f"{self.root}/runs/{r}"), True)
-            else:
-                self.fs.delete(self.path(f"{self.root}/runs/{run}"), True)
+                return base + 1
+            self.fs.delete(self.path(f"{self.root}/runs/{run}"), True)
 
     def read(self, schema) -> DataFrame:
         """Every live document with its shard (``_shard``) and manifest columns."""
