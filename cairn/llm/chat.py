@@ -45,6 +45,15 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(BOS), role, F.lit(OPEN), text, F.lit(CLOSE + EOS))
 
 
+def _content(raw: Column) -> Column:
+    """Unescaped content; null where a control string stands in it, which the grammar
+    does not allow."""
+    clash = F.lit(False)
+    for s in CONTROL:
+        clash = clash | F.contains(raw, F.lit(s))
+    return F.when(~clash, unescape(raw))
+
+
 def parse(formatted: Column) -> Column:
     """Deterministic parser: array of (role, text) read back from a rendered string."""
     turns = F.filter(F.split(formatted, EOS), lambda t: t != "")
@@ -53,7 +62,7 @@ def parse(formatted: Column) -> Column:
     def turn(t: Column) -> Column:
         role = F.substring(F.get(body(t), 0), len(BOS) + 1, 2**31 - 1)
         text = F.regexp_replace(F.get(body(t), 1), r"\[/INST\]$", "")
-        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(_content(role).alias("role"), _content(text).alias("text"))
 
     return F.transform(turns, turn)
 
@@ -172,8 +181,7 @@ WITH r AS (
   UNION ALL SELECT -1, 0, 'user', '{ATTACK}'
   UNION ALL SELECT -1, 1, 'assistant', '{ATTACK}'),
 e AS (
-  SELECT *, 3 + 6 + 11 + CASE WHEN contains(role || text, '\\') OR contains(text, '<s>') OR contains(text, '</s>')
-       OR contains(text, '[INST]') OR contains(text, '[/INST]')
+  SELECT *, 3 + 6 + 11 + CASE WHEN contains(role || text, '\\') OR regexp_matches(role, '</?s>|\\[/?INST\\]') OR regexp_matches(text, '</?s>|\\[/?INST\\]')
        THEN length({_ESC.format(x="role")}) + length({_ESC.format(x="text")})
        ELSE length(role) + length(text) END AS n FROM r)
 SELECT conv_id, count(*) AS n_turns,
