@@ -147,3 +147,30 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs).drop("spans")
+
+
+def _values() -> str:
+    return ", ".join(
+        f"({tid}, '{label}', {str(tid < len(BASE)).lower()}, '{phrase}')"
+        for tid, (label, phrase) in enumerate(BASE + NOTICES)
+    )
+
+
+ORACLE = f"""
+WITH t AS (SELECT tid, label, base, string_split(phrase, ' ') AS w, len(string_split(phrase, ' ')) AS m FROM (VALUES {_values()}) x(tid, label, base, phrase)),
+tg AS (SELECT tid, label, base, m, tpos, array_to_string(w[tpos + 1 : tpos + {K}], ' ') AS gram FROM (SELECT *, unnest(range(0, m - {K - 1})) AS tpos FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT rid, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM (SELECT rid, w, unnest(range(0, len(w) - {K - 1})) AS pos FROM d WHERE len(w) >= {K})),
+h AS (SELECT rid, tid, base, label, m, pos - tpos AS diag, tpos FROM g JOIN tg USING (gram)),
+dg AS (SELECT rid, tid, base, label, m, diag, count(*) AS c FROM h GROUP BY ALL),
+sp AS (SELECT *, sum(CASE WHEN diag - prev > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, tid ORDER BY diag) AS span
+  FROM (SELECT *, lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) AS prev FROM dg)),
+cv AS (SELECT sp.rid, sp.tid, sp.span, count(DISTINCT h.tpos + k) AS covered FROM sp JOIN h USING (rid, tid, diag), range({K}) r(k) GROUP BY ALL),
+j AS (SELECT rid, tid, base, label, m, span, max(diag) - min(diag) AS wide, count(*) FILTER (WHERE c = m - {K - 1}) AS exact FROM sp GROUP BY ALL),
+o AS (SELECT j.*, covered / m AS cover, exact > 0 OR (NOT base AND covered / m >= {COVER} AND wide <= {GAP}) AS ok FROM j JOIN cv USING (rid, tid, span)),
+b AS (SELECT rid, count(*) AS n, min(diag) AS lo, max(diag) AS hi FROM dg WHERE base AND c = m - {K - 1} GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(least(cover, 1.0::DOUBLE)) AS score FROM o WHERE ok GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(l.bl, '') AS base_labels, coalesce(l.al, '') AS labels,
+  coalesce(l.score, 0.0::DOUBLE) AS score FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)
+"""

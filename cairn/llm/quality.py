@@ -202,3 +202,39 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "score",
     )
+
+
+_CFG = QualityConfig()
+
+#: The same rules in SQL; crc32 comes from its table, built by the polynomial's rule.
+ORACLE = f"""
+WITH RECURSIVE tab AS (
+  SELECT x, CAST(x AS BIGINT) AS c, 0 AS k FROM range(256) r(x)
+  UNION ALL SELECT x, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+t AS (SELECT list(c ORDER BY x) AS t FROM tab WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT DISTINCT unnest(w) AS word FROM d),
+vc AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM v, t),
+p AS (SELECT d.doc_id, i, word, crc FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) d JOIN vc USING (word)),
+g AS (
+  SELECT doc_id, crc % {_CFG.buckets} AS b FROM p
+  UNION ALL SELECT x.doc_id, (x.crc * 31 + y.crc) % {_CFG.buckets} FROM p x JOIN p y ON y.doc_id = x.doc_id AND y.i = x.i + 1),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0),
+c AS (SELECT b, count(*) AS r, count(good.doc_id) AS t FROM g LEFT JOIN good USING (doc_id) GROUP BY b),
+n AS (SELECT sum(r) AS r, sum(t) AS t FROM c),
+wt AS (SELECT b, CAST(round(1000000 * ln(((c.t + 1.0::DOUBLE) / (n.t + {_CFG.buckets}.0::DOUBLE)) / ((c.r + 1.0::DOUBLE) / (n.r + {_CFG.buckets}.0::DOUBLE)))) AS BIGINT) AS w FROM c, n),
+s AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS total FROM g JOIN wt USING (b) GROUP BY doc_id),
+win AS (SELECT x.doc_id, x.i, count(*) OVER (PARTITION BY x.doc_id, x.word, y.word, z.word) AS n
+  FROM p x JOIN p y ON y.doc_id = x.doc_id AND y.i = x.i + 1 JOIN p z ON z.doc_id = x.doc_id AND z.i = x.i + 2),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(3) r(k) WHERE win.n > 1 GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    coalesce(s.total, 0) / (greatest(2 * len(w) - 1, 1) * {_CFG.scale}) AS score
+  FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND score >= {_CFG.threshold} AS kept, score FROM f
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import chat, decontam, mixing, neardup
+from cairn.llm import chat, decontam, licenses, mixing, neardup, quality
 from cairn.llm.chat import op4_chat_round_trip
 from cairn.llm.ctw import op7_context_tree_weighting
 from cairn.llm.decontam import op3_minhash_containment
@@ -28,8 +28,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_llr": quality.ORACLE,
     "op3_minhash_containment": decontam.ORACLE,
     "op4_chat_round_trip": chat.ORACLE,
     "op5_bottomk_near_dup": neardup.ORACLE,
     "op9_pareto_mix": mixing.ORACLE,
+    "op10_license_diagonals": licenses.ORACLE,
 }
