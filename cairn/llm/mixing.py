@@ -38,8 +38,9 @@ def source_targets(
     every = Window.partitionBy()
     level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     run = caps.withColumn("_level", level)
-    # sources at or above the first sustainable level share it, those before are capped
-    top = F.min(F.when(F.col("_level") <= F.col("_r"), F.col("_level"))).over(every)
+    # the first sustainable level, from which on levels only fall, is the largest of them;
+    # sources before it are capped
+    top = F.max(F.when(F.col("_level") <= F.col("_r"), F.col("_level"))).over(every)
     return (
         run.withColumn("_top", top)
         .withColumn(
@@ -182,7 +183,7 @@ l AS (SELECT *, (1.5::DOUBLE * (SELECT CAST(sum(source_size) AS BIGINT) FROM s)
         - coalesce(sum(cap) OVER (ORDER BY r, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY r, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS target
-      FROM (SELECT *, min(CASE WHEN level <= r THEN level END) OVER () AS top FROM l)),
+      FROM (SELECT *, max(CASE WHEN level <= r THEN level END) OVER () AS top FROM l)),
 p AS (SELECT *, CAST(floor(rate + 1e-12) AS INTEGER) AS whole FROM
       (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)),
 q AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, greatest(p.rate - p.whole, 0) AS p,
