@@ -220,7 +220,8 @@ class ShardStore:
                 F.col("tier").alias("_tier"), F.col("version").alias("_version"),
             )
         )
-        return rows.join(live, "_shard")
+        extra = ("_shard", "_rows", "_bytes", "_tier", "_version")
+        return rows.join(live, "_shard").select(*[f"`{c}`" for c in schema.names], *extra)
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, cfg: TierConfig | None = None) -> DataFrame:
