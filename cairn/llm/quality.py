@@ -27,6 +27,9 @@ class QualityConfig:
     scale: int = 1_000_000
 
 
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept",
+)
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -187,12 +190,13 @@ def score_quality(
     )
     n = F.col("n_words")
     grams = F.greatest(2 * n - 1, F.lit(1))
-    return (
-        feats.withColumn("score", total / (grams * cfg.scale))
-        .withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cfg.threshold))
-        .drop("_w", "_c")
-    )
+    failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+    scored = feats.withColumn("score", total / (grams * cfg.scale)).withColumn("base_failed", failed)
+    scored = scored.withColumn("kept", ~failed & (F.col("score") >= cfg.threshold))
+    # the results leave through a generator: a filter on them is not pushed below it, where
+    # it would be rewritten over the raw text and make every array again and again
+    out = F.inline_outer(F.array(F.struct(*RESULTS)))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], out)
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
