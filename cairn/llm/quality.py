@@ -23,7 +23,7 @@ class QualityConfig:
 
     buckets: int = 16384
     alpha: float = 1.0
-    threshold: float = -0.05
+    threshold: float = -0.06
     scale: int = 1_000_000
 
 
