@@ -25,20 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.decontam import split_words
+from cairn.llm.decontam import LOWER
 from cairn.llm.words import crc_mod
-from cairn.session import shared_dir
+from cairn.session import release_shuffles, shared_dir
 
 DEPTH = 5
 #: Bytes that UTF-8 never uses: the context before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text gathered before counts are formed.
-PIECE = 8 << 20
+PIECE = 2 << 20
+#: Distinct words of a block held before they are handed on in parts, and pairs before
+#: equal ones are merged (and, if that many are distinct, handed on).
+HELD, HELD_PAIRS = 600_000, 3_000_000
 ADD = 0.1
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
+def split_words(text: bytes | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return text.translate(LOWER).split() if text else []
+
+
 def coded(words: list[bytes]) -> bytes:
     """A token sequence as bytes: its context, the words between blanks, the end."""
     return bytes([BEFORE] * DEPTH) + b" ".join(words) + bytes([END])
@@ -69,21 +77,16 @@ def block_counts(batches):
     those of held-out text alone)."""
 
     def out(block, c: dict, words: Counter):
-        if c:
-            keys = np.concatenate(c["k"])
-            n = np.concatenate(c["n"])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, n = keys[first], np.add.reduceat(n, first)
+        if c.get("k"):
+            keys, n = _merged(c)
             m = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m, block, dtype=np.int32)), pa.array(keys.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(n.astype(np.int64))],
                 ["block", "gram", "word", "n"],
             )
         items = list(words.items())
-        for at in range(0, len(items), 100_000):
-            part = items[at : at + 100_000]
+        for at in range(0, len(items), 50_000):
+            part = items[at : at + 50_000]
             m = len(part)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m, block, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([x for _, x in part], pa.int64())],
@@ -92,7 +95,8 @@ def block_counts(batches):
 
     held: dict[int, list] = {}
     for batch in batches:
-        for block, test, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held_out", "text")), strict=True):
+        for block, test, text in zip(*(batch.column(c) for c in ("block", "held_out", "text")), strict=True):
+            block, test, text = block.as_py(), test.as_py(), text.as_py()
             state = held.setdefault(block, [[[], []], [0, 0], {"k": [], "n": []}, Counter()])
             words = split_words(text)
             state[0][test].append(coded(words))
@@ -105,17 +109,30 @@ def block_counts(batches):
             if state[1][test] >= PIECE:
                 _close(state, test)
             # a block of many distinct words or pairs is handed on in parts
-            if len(state[3]) > 2_000_000 or sum(map(len, state[2]["k"])) > 20_000_000:
-                _close(state, False)
-                _close(state, True)
-                yield from out(block, state[2], state[3])
-                held.pop(block)
+            if len(state[3]) > HELD:
+                yield from out(block, {}, state[3])
+                state[3] = Counter()
+            if sum(map(len, state[2]["k"])) > HELD_PAIRS:
+                keys, n = _merged(state[2])
+                state[2] = {"k": [keys], "n": [n]}
+                if len(keys) > HELD_PAIRS // 2:
+                    yield from out(block, state[2], {})
+                    state[2] = {"k": [], "n": []}
     for block, state in held.items():
         _close(state, False)
         _close(state, True)
         yield from out(block, state[2], state[3])
 
 
+def _merged(c: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of several pieces, each once."""
+    keys, n = np.concatenate(c["k"]), np.concatenate(c["n"])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+    return (keys[first], np.add.reduceat(n, first)) if len(keys) else (keys, n)
+
+
 def _close(state: list, test: bool) -> None:
     parts, state[0][test], state[1][test] = state[0][test], [], 0
     if parts:
@@ -251,13 +268,13 @@ def score_block(docs: pa.Table, table: pa.Table, total: int, distinct: int) -> p
     gram = table.column("gram").combine_chunks()
     is_gram = gram.is_valid().to_numpy(zero_copy_only=False)
     keys = gram.drop_null().to_numpy().astype(np.uint64)
-    value = table.column("value").to_numpy()
+    value, n_word = (table.column(c).to_numpy() for c in ("value", "count"))
     keys, first = np.unique(keys, return_index=True)  # a block read by two tasks repeats some
-    find, log_p = _Lookup(keys), np.append(value[is_gram][first], 0.0)
+    find, log_p = _Lookup(keys), np.append(value[is_gram][first].astype(float), 0.0)
     floor = math.log10(total + ADD * (distinct + 1))
     none = math.log10(ADD) - floor
-    words = table.column("word").combine_chunks().drop_null().to_pylist()
-    known = dict(zip(words, np.log10(value[~is_gram] + ADD) - floor, strict=True))
+    words = table.column("word").drop_null().to_pylist()
+    known = dict(zip(words, np.log10(n_word[~is_gram].astype(float) + ADD) - floor, strict=True))
     end = known.pop(bytes([END]), none)
     n_docs = len(docs)
     n, seen, base, score = (np.zeros(n_docs, dtype=t) for t in (np.int64, np.int64, float, float))
@@ -273,15 +290,15 @@ def score_block(docs: pa.Table, table: pa.Table, total: int, distinct: int) -> p
         starts = np.cumsum([0, *(len(x) for x in parts[:-1])])
         score[at] = np.add.reduceat(lp, starts)
 
-    for i, text in enumerate(docs.column("text").to_pylist()):
-        w = split_words(text)
+    for i, text in enumerate(docs.column("text")):
+        w = split_words(text.as_py())
         values = np.array([known.get(x, none) for x in w] + [end])
         n[i], seen[i], base[i] = len(values), int((values != none).sum()), values.sum()
         parts.append(coded(w))
         size[i] = len(parts[-1]) - DEPTH
         at.append(i)
         held += len(parts[-1])
-        if held >= PIECE // 4:
+        if held >= PIECE // 2:
             flush()
             parts, at, held = [], [], 0
     if parts:
@@ -312,7 +329,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     top = f"{shared_dir(spark)}/ctw-{uuid.uuid4().hex}"
     # blocks are the input's partitions; writing them fixes which rows they hold
-    docs.select("doc_id", "held_out", "text", F.spark_partition_id().alias("block")).write.option(
+    text = F.col("text").cast("binary").alias("text")
+    docs.select("doc_id", "held_out", text, F.spark_partition_id().alias("block")).write.option(
         "compression", "zstd"
     ).parquet(f"{top}/blocks")
     blocks = spark.read.parquet(f"{top}/blocks")
@@ -350,23 +368,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
     vocab = words.groupBy("word").agg(F.sum("n").alias("value")).filter("value > 0")
     vocab.write.option("compression", "zstd").parquet(f"{top}/vocab")
     vocab = spark.read.parquet(f"{top}/vocab")
+    release_shuffles(spark)
     tot, kinds = vocab.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.lit(1))).first()
     ends = docs.filter(~F.col("held_out")).count()
     total, distinct = tot + ends, kinds + (1 if ends else 0)
 
+    # 32 bits of a look-up value are kept: the sum over a text is off by far less than 1e-4
+    no_word, no_count = F.lit(None).cast("binary").alias("word"), F.lit(0).cast("bigint").alias("count")
+    no_gram, no_value = F.lit(None).cast("bigint").alias("gram"), F.lit(0).cast("float").alias("value")
     own = (
         pairs.select("block", "gram").join(model, "gram")
-        .select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
+        .select("block", "gram", no_word, F.col("value").cast("float").alias("value"), no_count)
         .union(
-            words.select("block", "word").join(vocab, "word")
-            .select("block", F.lit(None).cast("bigint"), "word", F.col("value").cast("double"))
+            words.select("block", "word").join(vocab.withColumnRenamed("value", "count"), "word")
+            .select("block", no_gram, "word", no_value, "count")
         )
     )
     if ends:
-        each = blocks.select("block").distinct().select(
-            "block", F.lit(None).cast("bigint"), F.lit(bytes([END])), F.lit(float(ends))
-        )
-        own = own.union(each)
+        each = blocks.select("block").distinct()
+        own = own.union(each.select("block", no_gram, F.lit(bytes([END])).alias("word"), no_value, F.lit(ends).cast("bigint").alias("count")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         blocks.groupBy("block")
