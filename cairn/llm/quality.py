@@ -145,12 +145,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def ratio_weights(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> list[int]:
     """Per bucket the log ratio of the two multinomials, in units of 1/scale.
 
-    Counts cover every n-gram of every document; only ``buckets`` rows reach the driver.
+    Counts cover every n-gram of every distinct text, so that the number of its copies
+    has no part in any score; a text is trusted if any copy is. Only ``buckets`` rows
+    reach the driver.
     """
     target = small_or_shuffled(trusted_ids(labels)).withColumn("_t", F.lit(1))
     counts = (
         docs.select("doc_id", F.col("text"))
         .join(target, "doc_id", "left")
+        .groupBy("text")
+        .agg(F.max("_t").alias("_t"))
         .select("_t", word_crcs(words(F.col("text"))).alias("_c"))
         # an outer explode: the planner would else infer a filter that makes all grams twice
         .select("_t", F.explode_outer(_grams(F.col("_c"), cfg)).alias("b"))
