@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,6 @@ def versions_to_delete(listing: DataFrame, prefix: str, now: int, min_age: int)
     from cairn.functions.text import version_index
 
     rows = listing.withColumn("idx", version_index(F.col("key"), prefix)).filter("idx is not null")
-    newest = rows.withColumn("_top", F.max("idx").over(Window.partitionBy()))
+    newest = rows.crossJoin(F.broadcast(rows.agg(F.max("idx").alias("_top"))))
     old = (F.col("created") > 0) & (F.greatest(now - F.col("created"), F.lit(0)) > min_age)
     return newest.filter((F.col("idx") < F.col("_top")) & old).select("key", "idx")

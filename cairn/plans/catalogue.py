@@ -316,7 +316,7 @@ def gc_apply_packs(s, sf):
 @query
 def manifest_versions_to_delete(s, sf):
     k = F.col("p_partkey")
-    rows = d.table(s, sf, "part").filter(k <= 60).select(
+    rows = d.table(s, sf, "part").select(
         F.when(k % 7 == 0, F.concat(F.lit("m3#0"), k.cast("string"))).when(k % 5 == 0, F.concat(F.lit("m2#"), k.cast("string")))
         .otherwise(F.concat(F.lit("m3#"), k.cast("string"))).alias("key"),
         F.when(k % 9 == 0, 0).otherwise(NOW - k * 120).alias("created"),

@@ -17,3 +17,11 @@ def test_all_events_are_parsed(spark):
         want[r.i] = r.sec if r.i % 6 < 3 else month_end if r.i % 6 == 5 else None
     got = {r.event_id: r.sec for r in catalogue.QUERIES["parse_timestamps"](spark, SF).collect()}
     assert len(got) == 10_000 and got == want
+
+
+def test_all_versions_are_judged(spark):
+    keys = [r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    listed = [k for k in keys if k % 7 and k % 5]
+    want = {k for k in listed if k < max(listed) and k % 9 and k * 120 > 3600}
+    rows = catalogue.QUERIES["manifest_versions_to_delete"](spark, SF).collect()
+    assert max(want) > 60 and sorted((r.key, r.idx) for r in rows) == sorted((f"m3#{k}", k) for k in want)
