@@ -130,7 +130,7 @@ def observations(spark: SparkSession, sf_dir: str, packs: DataFrame) -> DataFram
         F.concat(F.lit("pack-"), "pack").alias("key"), "created", F.lit(NOW - 6 * DAY).alias("last_accessed")
     )
     n = F.col("p_partkey")
-    foreign = table(spark, sf_dir, "part").filter(n <= 40).select(
+    foreign = table(spark, sf_dir, "part").select(
         F.when(n % 4 == 0, F.concat(F.lit("pack-"), n.cast("string")))
         .otherwise(F.concat(F.lit("pack-"), F.sha2(F.concat(F.lit("orphan-"), n.cast("string")), 256)))
         .alias("key"),
