@@ -59,6 +59,46 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**48)
 
 
+def appeal(size: Column) -> Column:
+    """What a document's expected copies are in proportion to: the fourth root of its
+    words, so that a text of 800 words is wanted twice as much as one of 50."""
+    return F.sqrt(F.sqrt(size.cast("double")))
+
+
+def inclusion_rates(narrow: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """Per source its ``level``: a document's expected copies are level * appeal, at most
+    ``most`` (level null: all have ``most``), and their words add up to the target.
+
+    Water-filling again, over the distinct sizes of a source, which are far fewer than its
+    documents: of sizes in descending order those before the first sustainable level are
+    capped. ``due`` is what the certain whole copies leave of the target.
+    """
+    same = (
+        narrow.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("_x", appeal(F.col("size"))).withColumn("_words", F.col("size") * F.col("n"))
+    )
+    t, g = targets.alias("t"), same.alias("g")
+    each = t.join(g, F.col("t.source").eqNullSafe(F.col("g.source")), "left").select("t.*", "size", "_x", "_words")
+    each = each.withColumn("_cap", F.lit(float(most)) * F.col("_words")).withColumn("_r", F.lit(float(most)) / F.col("_x"))
+    order = Window.partitionBy("source").orderBy(F.col("size").desc())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("target") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum(F.col("_x") * F.col("_words")).over(onward)
+    run = each.withColumn("_level", level)
+    top = F.max(F.when(F.col("_level") <= F.col("_r"), F.col("_level"))).over(Window.partitionBy("source"))
+    rate = F.when(F.col("size").isNull(), F.lit(0.0)).otherwise(
+        F.least(F.coalesce(F.col("level") * F.col("_x"), F.lit(float(most))), F.lit(float(most)))
+    )
+    whole = F.floor(rate + 1e-12) * F.coalesce("_words", F.lit(0))
+    return (
+        run.withColumn("level", top).groupBy("source", "source_size", "target", "level")
+        .agg(F.greatest(F.col("target") - F.sum(whole), F.lit(0.0)).alias("due"))
+    )
+
+
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
 def pareto_mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -68,100 +108,80 @@ def pareto_mix(
 ) -> DataFrame:
     """All columns of ``docs`` plus size, source_size, target, copies and taken.
 
-    Every document of a source gets the certain whole copies floor(target / source_size).
-    The fraction left is its inclusion probability p; with u uniform, documents rank by
-    the random odds u / (1 - u) over the inclusion odds p / (1 - p), and the lowest are
-    drawn until the words still due are filled; the document at the cut is drawn if that
-    ends nearer. Size is the number of words (null text: 0), and a sample is fixed in
-    words, so sources come within half a document of their targets.
+    Documents of a source have unequal expected copies, in proportion to their
+    :func:`appeal` and at most ``most``, whose words add up to the source's target. The
+    whole part is given for certain. The fraction left is the inclusion probability p;
+    with u uniform, documents rank by the random odds u / (1 - u) over the inclusion odds
+    p / (1 - p), and the lowest are drawn until the words still due are filled; the
+    document at the cut is drawn if that ends nearer. Size is the number of words (null
+    text: 0), and a sample is fixed in words, so sources come within half a document of
+    their targets.
 
     A source is never sorted as a whole: its ranking scale is cut into ``BINS`` bins,
     whose sums are formed before the shuffle, and only the bin with the cut is ordered.
     Rows of equal id and text tie and are interchangeable. Null ids and sources are
-    ordinary values; sources without words get target 0; an empty table gives no rows.
-    Columns of ``docs`` named like a result are replaced.
+    ordinary values; texts without words, however many, are never drawn, and sources
+    without words get target 0; an empty table gives no rows. Texts of any length are
+    counted whole. Columns of ``docs`` named like a result are replaced.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = docs.withColumn("size", size).withColumn("_u", uniform(key, seed)).withColumn(
-        "_h", F.xxhash64("doc_id", "text")
-    )
-    narrow = checkpoint(sized.select("source", "size", "_u", "_h"))
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint").alias("size")
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed).alias("u")
+    key = [F.col("source"), size, u, F.xxhash64("doc_id", "text").alias("h")]
+    narrow = checkpoint(docs.select(*key))
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most)
-    plan = (
-        targets.withColumn(
-            "_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        )
-        .withColumn("_whole", F.floor(F.col("_rate") + 1e-12).cast("int"))
-        .withColumn("_p", F.greatest(F.col("_rate") - F.col("_whole"), F.lit(0.0)))
-        .withColumn(
-            "_due", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0))
-        )
-    )
-    plan = checkpoint(plan.select("source", "source_size", "target", "_whole", "_p", "_due"))
+    plan = checkpoint(inclusion_rates(narrow, source_targets(sizes, weights, share, most), most))
     plan = small_or_shuffled(plan)
 
-    # rank by odds over odds; v maps the rank to (0, 1) in the same order
-    odds = F.col("_u") / (1 - F.col("_u"))
-    incl = F.col("_p") / (1 - F.col("_p"))
-    on = F.col("n.source").eqNullSafe(F.col("p.source"))
-
     def ranked(rows: DataFrame) -> DataFrame:
-        both = rows.alias("n").join(plan.alias("p"), on, "left").drop(F.col("p.source"))
-        q = odds / incl
+        """``rows`` with their whole copies, and p, rank q and its bin."""
+        both = rows.alias("n").join(plan.alias("p"), F.col("n.source").eqNullSafe(F.col("p.source")), "left").drop(F.col("p.source"))
+        wanted = F.least(F.coalesce(F.col("level") * appeal(F.col("size")), F.lit(float(most))), F.lit(float(most)))
+        rate = F.when(F.col("size") > 0, wanted).otherwise(0.0)
+        odds, incl = F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))
+        # v maps the rank to (0, 1) in the same order
         return (
-            both.withColumn("_q", F.when(F.col("_p") > 0, q))
-            .withColumn("_v", F.col("_q") / (1 + F.col("_q")))
-            .withColumn("_bin", F.least(F.floor(F.col("_v") * BINS), F.lit(BINS - 1)).cast("int"))
+            both.withColumn("whole", F.floor(rate + 1e-12).cast("int"))
+            .withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
+            .withColumn("q", F.when(F.col("p") > 0, odds / incl))
+            .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
         )
 
-    bins = (
-        ranked(narrow)
-        .filter("_p > 0")
-        .groupBy("source", "_bin", "_due")
-        .agg(F.sum("size").alias("_s"))
-    )
-    upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = ranked(narrow).filter("p > 0").groupBy("source", "bin", "due").agg(F.sum("size").alias("s"))
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        bins.withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0)))
-        .filter((F.col("_before") <= F.col("_due")) & (F.col("_before") + F.col("_s") > F.col("_due")))
+        bins.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0)))
+        .filter((F.col("before") <= F.col("due")) & (F.col("before") + F.col("s") > F.col("due")))
         .groupBy("source")
-        .agg(F.min_by(F.struct(F.col("_bin").alias("cut_bin"), F.col("_before").alias("cut_before")), F.col("_bin")).alias("c"))
+        .agg(F.min_by(F.struct(F.col("bin").alias("cut_bin"), F.col("before").alias("cut_before")), F.col("bin")).alias("c"))
         .select("source", "c.*")
     )
-    # inside the cutting bin: exact order, least-rank first
-    inside = Window.partitionBy("source").orderBy("_q", "_u", "_h", "size")
+    # inside the cutting bin: exact order, least rank first
+    inside = Window.partitionBy("source").orderBy("q", "u", "h", "size")
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     c = small_or_shuffled(checkpoint(cut))
-    on_cut = F.col("n.source").eqNullSafe(F.col("c.source"))
+    on_cut = F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.bin") == F.col("c.cut_bin"))
     at_cut = (
-        ranked(narrow).alias("n").join(c.alias("c"), on_cut & (F.col("n._bin") == F.col("c.cut_bin")))
+        ranked(narrow).filter("p > 0").alias("n").join(c.alias("c"), on_cut)
         .select("n.*", "c.cut_before")
-        .withColumn("_b", F.col("cut_before") + F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-        .filter((F.col("_b") <= F.col("_due")) & (F.col("_b") + F.col("size") > F.col("_due")))
+        .withColumn("b", F.col("cut_before") + F.coalesce(F.sum("size").over(so_far), F.lit(0)))
+        .filter((F.col("b") <= F.col("due")) & (F.col("b") + F.col("size") > F.col("due")))
         # the document that crosses the line: in if that leaves less of an error
-        .withColumn("_in", (F.col("_b") + F.col("size") - F.col("_due")) < (F.col("_due") - F.col("_b")))
+        .withColumn("inn", (F.col("b") + F.col("size") - F.col("due")) < (F.col("due") - F.col("b")))
         .groupBy("source")
-        .agg(F.min_by(F.struct(F.col("_q").alias("q"), F.col("_h").alias("h"), F.col("_in").alias("inn")), F.col("_q")).alias("edge"))
+        .agg(F.min_by(F.struct("q", "h", "inn"), F.col("q")).alias("edge"))
     )
-    edge = small_or_shuffled(checkpoint(at_cut))
-    final = ranked(sized).alias("f").join(
-        edge.alias("e"), F.col("f.source").eqNullSafe(F.col("e.source")), "left"
-    ).select("f.*", "e.edge")
+    edge = small_or_shuffled(checkpoint(at_cut)).alias("e")
+    # the row travels as one value, so that none of its names meets a name used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    final = ranked(rows).alias("f").join(edge, F.col("f.source").eqNullSafe(F.col("e.source")), "left").select("f.*", "e.edge")
     e = F.col("edge")
-    drawn = F.when(F.col("_p") <= 0, F.lit(False)).when(
-        e.isNull(), F.lit(True)
-    ).otherwise(
-        (F.col("_q") < e["q"])
-        | ((F.col("_q") == e["q"]) & ((F.col("_h") < e["h"]) | ((F.col("_h") == e["h"]) & e["inn"])))
+    before_cut = (F.col("q") < e["q"]) | ((F.col("q") == e["q"]) & ((F.col("h") < e["h"]) | ((F.col("h") == e["h"]) & e["inn"])))
+    drawn = (F.col("p") > 0) & F.coalesce(before_cut, F.lit(True))
+    final = final.withColumn("copies", F.col("whole") + drawn.cast("int"))
+    return final.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in RESULTS],
+        "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"),
     )
-    copies = F.coalesce(F.col("_whole"), F.lit(0)) + drawn.cast("int")
-    return (
-        final.withColumn("copies", F.coalesce(copies, F.lit(0)))
-        .withColumn("taken", (F.col("copies") * F.col("size")).cast("bigint"))
-        .drop("_u", "_h", "_whole", "_p", "_due", "_q", "_v", "_bin", "edge")
-    )
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +204,19 @@ l AS (SELECT *, (1.5::DOUBLE * (SELECT CAST(sum(source_size) AS BIGINT) FROM s)
         / sum(weight) OVER (ORDER BY r, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS target
       FROM (SELECT *, max(CASE WHEN level <= r THEN level END) OVER () AS top FROM l)),
-p AS (SELECT *, CAST(floor(rate + 1e-12) AS INTEGER) AS whole FROM
-      (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)),
-q AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, greatest(p.rate - p.whole, 0) AS p,
-             greatest(p.target - p.whole * p.source_size, 0) AS due, d.u, d.source
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+g AS (SELECT source, size, sqrt(sqrt(size::DOUBLE)) AS x, size * count(*) AS words FROM d WHERE size > 0 GROUP BY source, size),
+y AS (SELECT t.*, g.size, x, words, 2.0::DOUBLE * words AS cap, 2.0::DOUBLE / x AS r FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+z AS (SELECT *, (target - coalesce(sum(cap) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(x * words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM y),
+h AS (SELECT source, size, least(coalesce(max(CASE WHEN level <= r THEN level END) OVER (PARTITION BY source) * x, 2.0::DOUBLE), 2.0::DOUBLE) AS rate FROM z),
+p AS (SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, coalesce(rate, 0) AS rate, CAST(floor(coalesce(rate, 0) + 1e-12) AS INTEGER) AS whole
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source AND d.size = h.size),
+q AS (SELECT *, greatest(rate - whole, 0) AS p, greatest(target - sum(whole * size) OVER (PARTITION BY source), 0) AS due FROM p),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u) / (p / (1 - p)), u, doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q),
-x AS (SELECT *, whole + CASE WHEN p <= 0 THEN 0 WHEN b + size <= due THEN 1
-        WHEN b <= due AND (b + size - due) < (due - b) THEN 1 ELSE 0 END AS copies FROM o)
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q WHERE p > 0),
+x AS (SELECT q.*, whole + CASE WHEN q.p <= 0 THEN 0 WHEN b + q.size <= q.due THEN 1
+        WHEN b <= q.due AND (b + q.size - q.due) < (q.due - b) THEN 1 ELSE 0 END AS copies
+      FROM q LEFT JOIN (SELECT doc_id, b FROM o) USING (doc_id))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
        CAST(copies AS INTEGER) AS copies FROM x
 """
