@@ -6,22 +6,31 @@ A store is a folder that all executors share::
     manifest/v<N>/part-*.parquet     one row per live shard of version N
 
 Arrivals are appended as small shards without a shuffle. Compaction merges runs of the
-same size tier, in order, until their bytes reach the target; the merged shards are
-written beside the old ones, and one rename of the manifest folder makes them live. A
-job that dies leaves unreferenced files and the former version; writers that lose the
-race for a version number start again from the new one.
+same size tier, in order, until their bytes reach the target, and deals the rows of a
+merge evenly over as many shards as keep each within ``SLACK`` times the target. Merged
+shards are written beside the old ones, and one rename of the manifest folder makes them
+live; the store therefore needs a file system whose rename onto an absent name is atomic
+(HDFS, a shared POSIX folder). A job that dies leaves unreferenced files and the former
+version; writers that lose the race for a version number start again from the new one.
+Shards that no version refers to go with :meth:`ShardStore.vacuum`, never before, so that
+readers of an older version keep their files.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import checkpoint, release_shuffles, shared_dir, small_or_shuffled
+from cairn.session import checkpoint, shared_dir, small_or_shuffled
 
+#: A merged shard has at most this many times the target, a longer single text aside.
+SLACK = 1.25
+#: What is told of a document's shard beside its own columns.
+TOLD = ("shard", "shard_rows", "shard_bytes", "tier", "version")
 MANIFEST = "shard string, run string, rows bigint, bytes bigint, tier int, seq bigint, version bigint"
 
 
@@ -38,12 +47,28 @@ class TierConfig:
     arrival_rows: int = 4096
 
 
+def free_names(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """``names``, each with as many leading underscores as set it apart from ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _file() -> Column:
+    """The file of a row, below runs/."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "/runs/([^/]+/.*)$", 1)
+
+
 class ShardStore:
     """Append, compact and read one store."""
 
@@ -90,31 +115,30 @@ class ShardStore:
             F.ceil(F.log(size / c.least) / F.log(F.lit(float(c.ratio))) - 1e-9)
         ).cast("int")
 
-    def _rows(self, runs: list[str], schema) -> DataFrame:
-        """All rows of ``runs`` with ``_shard``, the file they stand in (below runs/)."""
+    def _rows(self, runs: list[str], schema, **extra) -> DataFrame:
+        """All rows of ``runs`` with further columns, such as the file they stand in."""
         reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
-        return reader.parquet(*[f"{self.root}/runs/{r}" for r in runs]).withColumn(
-            "_shard", F.regexp_extract(F.col("_metadata.file_path"), "/runs/([^/]+/.*)$", 1)
-        )
+        return reader.parquet(*[f"{self.root}/runs/{r}" for r in runs]).withColumns(extra)
 
-    def _listed(self, run: str, schema) -> DataFrame:
-        """Rows, bytes and order of the shards of a run, from what was written."""
-        d = self._rows([run], schema)
+    def _write(self, docs: DataFrame, run: str, **options) -> DataFrame:
+        """Writes ``docs`` as the shards of ``run``; returns their manifest rows.
+
+        Every row keeps the bytes of its text beside it, so that a shard is measured
+        without a second look at the texts.
+        """
+        (octets,) = free_names(["octets"], docs.columns)
         size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+        docs.withColumn(octets, size).write.options(compression="zstd", **options).parquet(f"{self.root}/runs/{run}")
+        sizes = self._rows([run], f"`{octets}` bigint", shard=_file())
         return (
-            d.groupBy(F.col("_shard").alias("shard"))
-            .agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
-            .withColumn("run", F.lit(run))
-            .withColumn("tier", self._tier(F.col("bytes")))
-        )
+            sizes.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum(octets).alias("bytes"))
+            .withColumn("run", F.lit(run)).withColumn("tier", self._tier(F.col("bytes")))
+        )
 
     def append(self, docs: DataFrame) -> int:
         """Writes ``docs`` as small immutable shards, one or more per input partition."""
         run = f"a{uuid.uuid4().hex}"
-        docs.write.option("maxRecordsPerFile", self.cfg.arrival_rows).option(
-            "compression", "zstd"
-        ).parquet(f"{self.root}/runs/{run}")
-        new = self._listed(run, docs.schema)
+        new = checkpoint(self._write(docs, run, maxRecordsPerFile=self.cfg.arrival_rows))
         while True:
             base = self.version()
             old = self.manifest(base)
@@ -168,69 +192,80 @@ class ShardStore:
                 .withColumn("merge", F.coalesce("_to", "merge")).drop("_at", "_to")
             )
 
+    def dealt(self, plan: DataFrame) -> DataFrame:
+        """(shard, base, k) of the merged shards of ``plan``: a merge's rows go to the
+        files base to base + k - 1. One row per merge is numbered in order."""
+        most = SLACK * self.cfg.target
+        whole = plan.filter("merge is not null").groupBy("merge").agg(F.ceil(F.sum("bytes") / most).alias("k"))
+        whole = whole.withColumn("k", F.greatest("k", F.lit(1)).cast("int"))
+        order = Window.orderBy("merge").rowsBetween(Window.unboundedPreceding, -1)
+        files = whole.withColumn("base", F.coalesce(F.sum("k").over(order), F.lit(0)).cast("int"))
+        return plan.join(files, "merge").select("shard", "base", "k")
+
     def compact(self, schema) -> int:
         """Merges until no tier has a run to merge; returns the live version."""
         while True:
             base = self.version()
-            plan = self.settle(self.manifest(base).drop("version"))
-            merged = plan.filter("merge is not null")
-            runs = [r[0] for r in merged.select("run").distinct().collect()]
+            plan = checkpoint(self.settle(self.manifest(base).drop("version")))
+            runs = [r[0] for r in plan.filter("merge is not null").select("run").distinct().collect()]
             if not runs:
                 return base
-            ids = merged.select("merge").distinct().withColumn(
-                "_to", F.row_number().over(Window.orderBy("merge")) - 1
-            )
-            ids = checkpoint(ids)
-            n = ids.count()
+            deal = checkpoint(self.dealt(plan))
+            n = deal.agg(F.max(F.col("base") + F.col("k"))).first()[0]
+            file, row, first, k = free_names(["file", "row", "first", "k"], schema.names)
+            tag = small_or_shuffled(deal.select(F.col("shard").alias(file), F.col("base").alias(first), F.col("k").alias(k)))
+            moved = self._rows(runs, schema, **{file: _file(), row: F.col("_metadata.row_index")}).join(tag, file)
+            # a merge's rows are dealt in turn, a file to a task: no task takes more than a shard
+            to = (F.col(first) + F.pmod(F.col(row) + F.pmod(F.xxhash64(file), F.col(k)), F.col(k))).cast("int")
             run = f"m{uuid.uuid4().hex}"
-            tag = small_or_shuffled(
-                merged.join(ids, "merge").select(F.col("shard").alias("_shard"), "_to")
-            )
-            moved = self._rows(runs, schema).join(tag, "_shard")
-            # all rows of a merged shard meet in one task, and each shard is one file
-            (
-                moved.select(*schema.names, "_to").repartition(n, "_to")
-                .write.partitionBy("_to").option("compression", "zstd")
-                .parquet(f"{self.root}/runs/{run}")
-            )
-            release_shuffles(self.spark)
-            made = self._listed(run, schema)
+            made = self._write(moved.repartitionById(n, to).select(*[f"`{c}`" for c in schema.names]), run)
             kept = plan.filter("merge is null").drop("merge")
             top = plan.agg(F.max("seq")).first()[0]
             made = made.withColumn("seq", F.lit(top) + F.row_number().over(Window.orderBy("shard")))
-            stay = {x[0] for x in kept.select("run").distinct().collect()}
             if self.commit(kept.unionByName(made), base):
-                for r in set(runs) - stay:  # no live shard is left in these runs
-                    self.fs.delete(self.path(f"{self.root}/runs/{r}"), True)
                 return base + 1
             self.fs.delete(self.path(f"{self.root}/runs/{run}"), True)
 
+    def vacuum(self, retain: int = 1) -> list[str]:
+        """Forgets all but the ``retain`` newest versions, then deletes the runs that none
+        of those refers to. Returns the deleted runs. Not to be run beside writers, whose
+        new runs no version refers to yet."""
+        newest = self.version()
+        keep = range(max(newest - retain, 0) + 1, newest + 1)
+        used = set()
+        for v in keep:
+            used |= {r[0] for r in self.manifest(v).select("run").distinct().collect()}
+        for s in self.fs.listStatus(self.path(f"{self.root}/manifest")):
+            name = s.getPath().getName()
+            if name[0] == "v" and name[1:].isdigit() and int(name[1:]) not in keep:
+                self.fs.delete(s.getPath(), True)
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.root}/runs"))]
+        gone = sorted(set(names) - used)
+        for r in gone:
+            self.fs.delete(self.path(f"{self.root}/runs/{r}"), True)
+        return gone
+
     def read(self, schema) -> DataFrame:
-        """Every live document with its shard (``_shard``) and manifest columns."""
+        """Every live document with all its columns, then those of ``TOLD`` (with leading
+        underscores where a document has a column of that name)."""
+        names = free_names(TOLD, schema.names)
         m = self.manifest()
+        live = m.select(*[F.col(c).alias(n) for c, n in zip(("shard", "rows", "bytes", "tier", "version"), names, strict=True)])
         runs = [r[0] for r in m.select("run").distinct().collect()]
+        own = [f"`{c}`" for c in schema.names]
         if not runs:
-            return self.spark.createDataFrame([], schema).withColumns(
-                {"_shard": F.lit(""), "_rows": F.lit(0), "_bytes": F.lit(0), "_tier": F.lit(0), "_version": F.lit(0)}
-            )
-        rows = self._rows(runs, schema)
-        live = small_or_shuffled(
-            m.select(
-                F.col("shard").alias("_shard"), F.col("rows").alias("_rows"), F.col("bytes").alias("_bytes"),
-                F.col("tier").alias("_tier"), F.col("version").alias("_version"),
-            )
-        )
-        extra = ("_shard", "_rows", "_bytes", "_tier", "_version")
-        return rows.join(live, "_shard").select(*[f"`{c}`" for c in schema.names], *extra)
+            return self.spark.createDataFrame([], schema).crossJoin(live.limit(0)).select(*own, *names)
+        return self._rows(runs, schema, **{names[0]: _file()}).join(small_or_shuffled(live), names[0]).select(*own, *names)
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, cfg: TierConfig | None = None) -> DataFrame:
     """Appends ``docs`` to a store, compacts it and reads the live shards back.
 
-    Every row of ``docs`` returns exactly once, with all its columns and the shard it
-    ended in. Null and empty texts count no bytes; a text beyond the target makes a
-    shard of its own size; an empty table gives an empty store. Without ``root`` a
-    new store is made in the session's shared folder.
+    Every row of ``docs`` returns exactly once, with all its columns under their own
+    names, and the shard it ended in. Repeated rows and null ids are rows like others.
+    Null and empty texts count no bytes; a text beyond the target makes a shard of its
+    own size; an empty table gives an empty store. Without ``root`` a new store is made
+    in the session's shared folder.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", cfg)
@@ -241,11 +276,4 @@ def shard_documents(docs: DataFrame, root: str | None = None, cfg: TierConfig |
 
 def op6_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard_documents(docs).select(
-        "doc_id",
-        F.col("_shard").alias("shard"),
-        F.col("_rows").alias("shard_rows"),
-        F.col("_bytes").alias("shard_bytes"),
-        F.col("_tier").alias("tier"),
-        F.col("_version").alias("version"),
-    )
+    return shard_documents(docs).select("doc_id", *TOLD)
