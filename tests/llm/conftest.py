@@ -3,6 +3,8 @@ import random
 import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, score double"
+#: Names that results and helpers of the operators bear, too.
+CLASHES = ("tier", "shard", "version", "Shard_Rows", "_shard", "_row", "_row_hash", "_u", "_h", "_w", "_q", "bin", "row", "file", "octets", "copies", "kept", "cid", "text_hash", "base", "block", "edge", "source_size")
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +20,14 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+@pytest.fixture(scope="session")
+def clashing_docs(spark, odd_docs):
+    """``odd_docs`` with a value in a column of every such name."""
+    from pyspark.sql import functions as F
+
+    return odd_docs.select("*", *[F.concat(F.lit(f"own {c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)

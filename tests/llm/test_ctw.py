@@ -1,6 +1,6 @@
 import math
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,16 +90,18 @@ def test_probabilities_of_next_bytes_sum_to_one(spark):
     gram = {key(b"abcde", x): 0 for x in range(256)}
     for c, n in seen.items():
         gram |= {key(c[-ctw.DEPTH :], x): k for x, k in n.items()}
-    mixed = ctw.mix_group(pa.table({"gram": list(gram), "n": list(gram.values())}))
-    rows = mixed.to_pylist()
-    head = ctw.top_mixture([(r["near"], r["prefix"], r["a"], r["b"], r["lw"]) for r in rows if r["prefix"] is not None])
-    total = 0.0
-    for r in rows:
-        if r["gram"] is not None and r["gram"] >> 8 == key(b"abcde", 0) >> 8:
-            prefix, bit = ctw._bits(__import__("numpy").array([r["gram"] & 255]))
-            c = head[ord("e"), prefix[0], bit[0]]
-            total += math.prod(c[k, 0] + c[k, 1] * p for k, p in enumerate(r["p"]))
-    assert total == pytest.approx(1.0)
+    leaves, n = np.array(sorted(gram)), np.array([gram[g] for g in sorted(gram)])
+    p, nodes = ctw.mix_leaves(leaves, n)
+    # every leaf ends in "cde": depth 2 is one table, depth 1 one byte
+    two = nodes["near"] & 0xFFFF
+    assert set(two) == {int.from_bytes(b"de", "big")}
+    lw, own = ctw._mixed(nodes["a"], nodes["b"], nodes["lw"])
+    table = ctw.Depth2(nodes["prefix"], nodes["a"], nodes["b"], own)
+    head = ctw.top_mixture(list(zip(two & 255, nodes["prefix"], nodes["a"], nodes["b"], lw)))
+    here = leaves >> 8 == key(b"abcde", 0) >> 8
+    total = (10 ** table.values(leaves.astype(np.uint64), p, head))[here].sum()
+    assert here.sum() == 256
+    assert total == pytest.approx(1.0, abs=1e-5)
 
 
 def test_held_out_text_is_scored_better_than_by_words_alone(spark):
@@ -118,8 +120,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_lookup_finds_all_and_only_its_keys():
-    import numpy as np
-
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 5000).astype(np.uint64))
     find = ctw._Lookup(keys)
     assert (find(keys) == np.arange(len(keys))).all()

@@ -1,5 +1,6 @@
 """Language id, decontamination, sharding, token counts, mixing and license scans."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from cairn.llm import decontam, langid, licenses, mixing, sharding, tokens
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 # -- language id ---------------------------------------------------------------
 def test_codewords_differ_widely():
     for n in (2, 3, 4, 7, 20, 60):
@@ -103,10 +107,77 @@ def test_compaction_keeps_every_row(spark, tmp_path):
     assert sum(r.bytes >= cfg.target // 2 for r in shards) >= len(shards) - cfg.fan_in
     back = store.read(docs.schema)
     assert back.select(*docs.columns).exceptAll(docs).count() == 0 and back.count() == 4000
-    sizes = {r._shard: (r.n, r.b) for r in back.groupBy("_shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    sizes = {r.shard: (r.n, r.b) for r in back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
     assert sizes == {r.shard: (r.rows, r.bytes) for r in shards}
 
 
+def settled(shards, cfg):
+    """{shard: merge} by plain lists: rounds of tiers, in order of arrival."""
+    tier = lambda b: 0 if b <= cfg.least else math.ceil(math.log(b / cfg.least) / math.log(cfg.ratio) - 1e-9)
+    now = [(b, seq, [name]) for name, b, seq in shards]
+    while True:
+        groups = {}
+        for b, seq, names in sorted(now, key=lambda x: x[1]):
+            if b < cfg.target:
+                own = groups.setdefault(tier(b), [])
+                own.append((sum(x[1] for x in own), b, seq, names))
+        merged = []
+        for own in groups.values():
+            cuts = {}
+            for before, b, seq, names in own:
+                cuts.setdefault(before // cfg.target, []).append((b, seq, names))
+            merged += [c for c in cuts.values() if len(c) >= cfg.fan_in or (len(c) > 1 and sum(x[0] for x in c) >= cfg.target // 2)]
+        if not merged:
+            return sorted(sorted(names) for _, _, names in now if len(names) > 1)
+        gone = {x[1] for c in merged for x in c}
+        now = [x for x in now if x[1] not in gone] + [(sum(x[0] for x in c), min(x[1] for x in c), sum((x[2] for x in c), [])) for c in merged]
+
+
+def test_plan_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    cfg = sharding.TierConfig(target=1000, least=50)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), cfg)
+    for _ in range(3):
+        shards = [(f"s{i}", rng.choice((10, 40, 90, 130, 400, 700, 999, 1500, rng.randint(1, 900))), i) for i in range(rng.randint(3, 60))]
+        df = spark.createDataFrame(shards, "shard string, bytes bigint, seq bigint").withColumn("tier", store._tier(F.col("bytes")))
+        groups = {}
+        for r in store.settle(df).filter("merge is not null").collect():
+            groups.setdefault(r.merge, []).append(r.shard)
+        assert sorted(sorted(x) for x in groups.values()) == settled(shards, cfg)
+        files = {}
+        for r in store.dealt(store.settle(df)).collect():
+            files.setdefault((r.base, r.k), set()).add(r.shard)
+        size = {s: b for s, b, _ in shards}
+        at = 0
+        for (base, k), own in sorted(files.items()):
+            total = sum(size[s] for s in own)
+            assert base == at and k == max(1, math.ceil(total / (sharding.SLACK * cfg.target)))
+            at += k
+
+
+def test_merged_shards_keep_to_the_target(spark, tmp_path):
+    """Arrivals near the target do not pair up to twice as much."""
+    docs = spark.range(6400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde "), F.lit(20)).alias("text")).repartition(16)
+    cfg = sharding.TierConfig(target=64_000, least=1000, arrival_rows=400)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), cfg)
+    store.append(docs)
+    store.compact(docs.schema)
+    shards = store.manifest().collect()
+    assert sum(r.rows for r in shards) == 6400 and max(r.bytes for r in shards) <= sharding.SLACK * cfg.target * 1.05
+    assert sorted(r.bytes for r in shards)[len(shards) // 2] >= cfg.target // 2
+
+
+def test_readers_of_an_older_version_keep_their_files(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text here").alias("text")).repartition(6)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), sharding.TierConfig(target=5000, least=100))
+    store.append(docs)
+    old = store.read(docs.schema)
+    assert store.compact(docs.schema) == 2 and old.count() == 300
+    assert store.manifest(1).count() == 6
+    assert len(store.vacuum(1)) == 1 and store.read(docs.schema).count() == 300
+    assert store.version() == 2
+
+
 def test_the_loser_of_a_version_merges_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     store = sharding.ShardStore(spark, str(tmp_path / "s"))
@@ -192,6 +263,61 @@ def targets(sizes, share=1.5, most=2.0):
     return got
 
 
+def rates(sizes, target, most=2.0):
+    """Expected copies per document: in proportion to the fourth root of its words, at
+    most ``most``, adding up to ``target`` words (by bisection)."""
+    x = {i: n**0.25 for i, n in sizes.items()}
+    lo, hi = 0.0, 4.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(min(most, mid * x[i]) * n for i, n in sizes.items()) < target:
+            lo = mid
+        else:
+            hi = mid
+    return {i: min(most, hi * x[i]) if n else 0.0 for i, n in sizes.items()}
+
+
+def mixed(docs, share=1.5, most=2.0):
+    """Copies of each of ``docs`` (id, source, size), all sorted and dealt in one place."""
+    by = {}
+    for i, s, n in docs:
+        by.setdefault(s, {})[i] = n
+    out = {}
+    u = lambda i: (int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    for s, target in targets({s: sum(x.values()) for s, x in by.items()}, share, most).items():
+        rate = rates(by[s], target, most)
+        whole = {i: int(r + 1e-9) for i, r in rate.items()}
+        p = {i: max(r - whole[i], 0) for i, r in rate.items()}
+        due = target - sum(whole[i] * n for i, n in by[s].items())
+        at = 0
+        for i in sorted((i for i in p if p[i] > 1e-9), key=lambda i: u(i) / (1 - u(i)) / (p[i] / (1 - p[i]))):
+            n = by[s][i]
+            whole[i] += at + n <= due or (at <= due and at + n - due < due - at)
+            at += n
+        out |= whole
+    return out
+
+
+def test_mix_by_brute_force(spark, sf):
+    docs = [(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: r["copies"] for r in mixing.op9_pareto_mix(spark, sf).collect()} == mixed(docs)
+
+
+def test_inclusion_frequencies_follow_the_probabilities(spark):
+    """The same 60 documents under 500 sources: as many independent draws."""
+    rng = random.Random(9)
+    sizes = {i: rng.randint(1, 400) for i in range(60)}
+    draws = 500
+    docs = spark.createDataFrame(list(sizes.items()), "i int, n int").crossJoin(spark.range(draws).withColumnRenamed("id", "s"))
+    docs = docs.select((F.col("s") * 60 + F.col("i")).alias("doc_id"), F.repeat(F.lit("w "), F.col("n")).alias("text"), F.col("s").cast("string").alias("source"), "i")
+    target = 0.4 * sum(sizes.values())
+    want = rates(sizes, target)
+    assert min(want.values()) < 0.2 and max(want.values()) > 0.4  # far from equal
+    rows = mixing.pareto_mix(docs, weights=(1,), share=0.4).groupBy("i").agg(F.avg("copies").alias("got")).collect()
+    for r in rows:
+        assert abs(r.got - want[r.i]) < 4 * math.sqrt(want[r.i] / draws) + 0.02
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.op9_pareto_mix(spark, "/root/testdata/sf0.01").collect()
     src = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
