@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.words import words
-from cairn.session import small_or_shuffled
+from cairn.session import checkpoint, small_or_shuffled
 
 
 @dataclass(frozen=True)
@@ -17,13 +17,19 @@ class QualityConfig:
     """Parameters of the score.
 
     ``buckets`` bounds the two multinomials (and so the driver-side weight table);
-    ``alpha`` is their additive smoothing, ``threshold`` the least accepted mean
-    log-likelihood ratio (nats per n-gram).
+    ``alpha`` is their additive smoothing. A text is scored without the trusted texts of
+    its own one of ``folds`` folds, so that no text is measured against itself. The
+    threshold is set by the trusted texts' own scores: ``spread`` times the gap between
+    their ``low`` quantile and their median, below that quantile; ``grain`` is the width
+    of the histogram that the quantiles are read from.
     """
 
     buckets: int = 16384
     alpha: float = 1.0
-    threshold: float = -0.06
+    folds: int = 4
+    low: float = 0.01
+    spread: float = 0.5
+    grain: float = 1e-4
     scale: int = 1_000_000
 
 
@@ -142,65 +148,119 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, cfg: QualityConfig) -> list[int]:
-    """Per bucket the log ratio of the two multinomials, in units of 1/scale.
+def _fold(text: Column, cfg: QualityConfig) -> Column:
+    """The fold of a text; equal texts share it."""
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int") % cfg.folds).cast("int")
+
+
+def distinct_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(text, _t) with every text once; ``_t`` is 1 if any of its rows is trusted.
+
+    Only texts' digests are shuffled: of several copies the one with the least id stays,
+    found by a join with the digests that stand more than once. Rows that repeat an id
+    and its text are the one case in which texts themselves are grouped.
+    """
+    keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("_d")).filter("text is not null")
+    seen = keyed.select("_d", "doc_id").join(target, "doc_id", "left").groupBy("_d", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("_t").alias("t"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))["doc_id"]
+    many = seen.groupBy("_d").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max("t").alias("t"), first.alias("rep")).filter("n > 1")
+    many = checkpoint(many)
+    marked = keyed.join(small_or_shuffled(many), "_d", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
+    out = marked.filter("m IS NULL OR m = 1").join(target, "doc_id", "left").select("text", F.coalesce("t", "_t").alias("_t"))
+    if many.filter("m > 1").limit(1).count():
+        again = marked.filter("m > 1").groupBy("text").agg(F.max("t").alias("_t"))
+        out = out.unionByName(again)
+    return out
+
+
+def ratio_weights(docs: DataFrame, target: DataFrame, cfg: QualityConfig) -> list[int]:
+    """Per fold and bucket the log ratio of the two multinomials, in units of 1/scale.
 
     Counts cover every n-gram of every distinct text, so that the number of its copies
-    has no part in any score; a text is trusted if any copy is. Only ``buckets`` rows
-    reach the driver.
+    has no part in any score; a text is trusted if any copy is, and the target of a fold
+    is the trusted texts of all others. Only ``buckets`` rows reach the driver.
     """
-    target = small_or_shuffled(trusted_ids(labels)).withColumn("_t", F.lit(1))
+    in_fold = [F.count(F.when(F.col("_f") == k, F.col("_t"))).alias(f"t{k}") for k in range(cfg.folds)]
     counts = (
-        docs.select("doc_id", F.col("text"))
-        .join(target, "doc_id", "left")
-        .groupBy("text")
-        .agg(F.max("_t").alias("_t"))
-        .select("_t", word_crcs(words(F.col("text"))).alias("_c"))
+        distinct_texts(docs, target)
+        .select("_t", _fold(F.col("text"), cfg).alias("_f"), word_crcs(words(F.col("text"))).alias("_c"))
         # an outer explode: the planner would else infer a filter that makes all grams twice
-        .select("_t", F.explode_outer(_grams(F.col("_c"), cfg)).alias("b"))
+        .select("_t", "_f", F.explode_outer(_grams(F.col("_c"), cfg)).alias("b"))
         .filter("b is not null")
         .groupBy("b")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
+        .agg(F.count(F.lit(1)).alias("raw"), *in_fold)
     )
     rows = counts.collect()  # at most cfg.buckets rows
-    raw_n = sum(r["raw"] for r in rows)
-    tgt_n = sum(r["target"] for r in rows)
+    by = {r["b"]: (r["raw"], [r[f"t{k}"] for k in range(cfg.folds)]) for r in rows}
+    raw_n = sum(raw for raw, _ in by.values())
     flat = cfg.alpha * cfg.buckets
-    by = {r["b"]: (r["raw"], r["target"]) for r in rows}
+    empty = (0, [0] * cfg.folds)
     out = []
-    for b in range(cfg.buckets):
-        raw, tgt = by.get(b, (0, 0))
-        p = (tgt + cfg.alpha) / (tgt_n + flat)
-        q = (raw + cfg.alpha) / (raw_n + flat)
-        out.append(round(cfg.scale * math.log(p / q)) if tgt_n else 0)
+    for k in range(cfg.folds):
+        tgt_n = sum(sum(t) - t[k] for _, t in by.values())
+        for b in range(cfg.buckets):
+            raw, t = by.get(b, empty)
+            p = (sum(t) - t[k] + cfg.alpha) / (tgt_n + flat)
+            q = (raw + cfg.alpha) / (raw_n + flat)
+            out.append(round(cfg.scale * math.log(p / q)) if tgt_n else 0)
     return out
 
 
+def _score(crc: Column, fold: Column, n: Column, weights: list[int], cfg: QualityConfig) -> Column:
+    """The mean weight of the n-grams of a text with ``n`` words."""
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
+    base = fold * cfg.buckets
+    total = F.aggregate(_grams(crc, cfg), F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b + base))
+    return total / (F.greatest(2 * n - 1, F.lit(1)) * cfg.scale)
+
+
+def threshold(docs: DataFrame, target: DataFrame, weights: list[int], cfg: QualityConfig) -> float | None:
+    """The least accepted score, from the scores of all trusted documents of 50 words or
+    more; None if there are none. Their histogram has a bounded number of bars."""
+    trusted = docs.select("doc_id", "text").join(target, "doc_id", "left_semi")
+    own = trusted.select(_fold(F.col("text"), cfg).alias("_f"), words(F.col("text")).alias("_w")).filter(F.size("_w") >= 50)
+    own = own.select("_f", F.size("_w").cast("bigint").alias("n"), word_crcs(F.col("_w")).alias("_c"))
+    score = _score(F.col("_c"), F.col("_f"), F.col("n"), weights, cfg)
+    bars = own.select(F.floor(score * round(1 / cfg.grain)).cast("int").alias("bar")).groupBy("bar").count().orderBy("bar").collect()
+    total, upto, found = sum(r["count"] for r in bars), 0, {}
+    for r in bars:
+        upto += r["count"]
+        for q in (cfg.low, 0.5):
+            if q not in found and upto >= q * total:
+                found[q] = r["bar"]
+    if not bars:
+        return None
+    return (found[cfg.low] - cfg.spread * (found[0.5] - found[cfg.low])) * cfg.grain
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None
 ) -> DataFrame:
     """All columns of ``docs`` plus base counts, ``score``, ``base_failed`` and ``kept``.
 
     Null or blank text: no words, score 0, base_failed. Without trusted documents every
-    weight is 0 and the base rules alone decide. Repeated rows score alike. Columns of
-    ``docs`` named like a result are replaced.
+    weight is 0 and the base rules alone decide. Repeated rows score alike, null ids are
+    trusted by no label, texts of any length count whole, and an empty table gives no
+    rows. Columns of ``docs`` named like a result are replaced.
     """
     cfg = cfg or QualityConfig()
-    weights = ratio_weights(docs, labels, cfg)
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    feats = base_features(docs).withColumn("_c", word_crcs(F.col("_w")))
-    total = F.aggregate(
-        _grams(F.col("_c"), cfg), F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b)
-    )
+    target = small_or_shuffled(trusted_ids(labels).withColumn("_t", F.lit(1)))
+    pairs = docs.select("doc_id", "text")
+    weights = ratio_weights(pairs, target, cfg)
+    least = threshold(pairs, target, weights, cfg)
+    # the row travels as one value, so that none of its names meets a name used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    feats = base_features(docs.select(row, F.col("text"))).withColumn("_c", word_crcs(F.col("_w")))
     n = F.col("n_words")
-    grams = F.greatest(2 * n - 1, F.lit(1))
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    scored = feats.withColumn("score", total / (grams * cfg.scale)).withColumn("base_failed", failed)
-    scored = scored.withColumn("kept", ~failed & (F.col("score") >= cfg.threshold))
+    fold = _fold(F.coalesce(F.col("text"), F.lit("")), cfg)
+    scored = feats.withColumn("score", _score(F.col("_c"), fold, n, weights, cfg)).withColumn("base_failed", failed)
+    good = F.lit(True) if least is None else F.col("score") >= least
+    scored = scored.withColumn("kept", ~failed & good)
     # the results leave through a generator: a filter on them is not pushed below it, where
     # it would be rewritten over the raw text and make every array again and again
     out = F.inline_outer(F.array(F.struct(*RESULTS)))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], out)
+    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in RESULTS], out)
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +280,8 @@ WITH RECURSIVE tab AS (
   SELECT x, CAST(x AS BIGINT) AS c, 0 AS k FROM range(256) r(x)
   UNION ALL SELECT x, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
 t AS (SELECT list(c ORDER BY x) AS t FROM tab WHERE k = 8),
-d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, text IS NULL AS none, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  CAST('0x' || substr(md5(coalesce(text, '')), 1, 4) AS BIGINT) % {_CFG.folds} AS f FROM documents),
 v AS (SELECT DISTINCT unnest(w) AS word FROM d),
 vc AS (
   SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
@@ -230,10 +291,16 @@ g AS (
   SELECT doc_id, crc % {_CFG.buckets} AS b FROM p
   UNION ALL SELECT x.doc_id, (x.crc * 31 + y.crc) % {_CFG.buckets} FROM p x JOIN p y ON y.doc_id = x.doc_id AND y.i = x.i + 1),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0),
-c AS (SELECT b, count(*) AS r, count(good.doc_id) AS t FROM g LEFT JOIN good USING (doc_id) GROUP BY b),
-n AS (SELECT sum(r) AS r, sum(t) AS t FROM c),
-wt AS (SELECT b, CAST(round(1000000 * ln(((c.t + 1.0::DOUBLE) / (n.t + {_CFG.buckets}.0::DOUBLE)) / ((c.r + 1.0::DOUBLE) / (n.r + {_CFG.buckets}.0::DOUBLE)))) AS BIGINT) AS w FROM c, n),
-s AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS total FROM g JOIN wt USING (b) GROUP BY doc_id),
+one AS (SELECT min(d.doc_id) AS doc_id, any_value(f) AS f, count(good.doc_id) > 0 AS t FROM d LEFT JOIN good USING (doc_id) WHERE NOT none GROUP BY text),
+c AS (SELECT b, count(*) AS r, {", ".join(f"count(*) FILTER (WHERE t AND f <> {k}) AS t{k}" for k in range(_CFG.folds))} FROM g JOIN one USING (doc_id) GROUP BY b),
+u AS (SELECT b, r, unnest([{", ".join(f"t{k}" for k in range(_CFG.folds))}]) AS t, unnest(range({_CFG.folds})) AS f FROM c),
+n AS (SELECT f, sum(r) AS r, sum(t) AS t FROM u GROUP BY f),
+wt AS (SELECT f, b, CASE WHEN n.t = 0 THEN 0 ELSE CAST(round({_CFG.scale} * ln(((u.t + 1.0::DOUBLE) / (n.t + {_CFG.buckets}.0::DOUBLE)) / ((u.r + 1.0::DOUBLE) / (n.r + {_CFG.buckets}.0::DOUBLE)))) AS BIGINT) END AS w FROM u JOIN n USING (f)),
+s AS (SELECT g.doc_id, CAST(sum(wt.w) AS BIGINT) AS total FROM g JOIN d USING (doc_id) JOIN wt ON wt.b = g.b AND wt.f = d.f GROUP BY g.doc_id),
+sc AS (SELECT d.doc_id, coalesce(total, 0) / (greatest(2 * len(w) - 1, 1) * {_CFG.scale}) AS score, len(w) AS n FROM d LEFT JOIN s USING (doc_id)),
+bar AS (SELECT CAST(floor(score * {round(1 / _CFG.grain)}) AS BIGINT) AS bar, count(*) AS k FROM sc JOIN good USING (doc_id) WHERE n >= 50 GROUP BY 1),
+cum AS (SELECT bar, sum(k) OVER (ORDER BY bar) AS upto, sum(k) OVER () AS total FROM bar),
+th AS (SELECT min(bar) FILTER (WHERE upto >= {_CFG.low}::DOUBLE * total) AS low, min(bar) FILTER (WHERE upto >= 0.5::DOUBLE * total) AS mid FROM cum),
 win AS (SELECT x.doc_id, x.i, count(*) OVER (PARTITION BY x.doc_id, x.word, y.word, z.word) AS n
   FROM p x JOIN p y ON y.doc_id = x.doc_id AND y.i = x.i + 1 JOIN p z ON z.doc_id = x.doc_id AND z.i = x.i + 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(3) r(k) WHERE win.n > 1 GROUP BY doc_id),
@@ -241,8 +308,8 @@ ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unn
 f AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-    coalesce(s.total, 0) / (greatest(2 * len(w) - 1, 1) * {_CFG.scale}) AS score
-  FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN s USING (doc_id))
+    sc.score
+  FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id) JOIN sc USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND score >= {_CFG.threshold} AS kept, score FROM f
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(score >= (low - {_CFG.spread}::DOUBLE * (mid - low)) * {_CFG.grain}::DOUBLE, true) AS kept, score FROM f, th
 """
