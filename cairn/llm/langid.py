@@ -7,7 +7,6 @@ loss is the answer. Counts for the classifiers come from every training document
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from cairn.llm.words import crc_mod
 
 #: A text without a letter is undetermined.
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes: ASCII letters and all of UTF-8's others are kept, the rest is a space.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -36,6 +34,12 @@ class LangConfig:
     piece: int = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by its Unicode category (fractions, powers and
+    letter-like numerals are none). Most texts show one at once."""
+    return any(map(str.isalpha, text))
+
+
 def codewords(n: int) -> np.ndarray:
     """An n x bits matrix of -1 and 1 with distinct, well separated rows.
 
@@ -99,9 +103,11 @@ def _grouped(texts: list[str | None], cfg: LangConfig) -> Iterator[tuple[list[in
 
 
 def train_counts(train: DataFrame, cfg: LangConfig) -> DataFrame:
-    """(lang, bucket, n) over every trigram of every training text; summed per task first."""
+    """(lang, counts) over every trigram of every training text: a language's bucket counts
+    as 64-bit integers, one row each. Sums are formed per task first."""
 
     def count(batches):
+        # one row of counts per language: the state does not grow with the texts
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
@@ -121,7 +127,30 @@ def train_counts(train: DataFrame, cfg: LangConfig) -> DataFrame:
             )
 
     parts = train.select("text", "lang").mapInArrow(count, "lang string, bucket int, n bigint")
-    return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def fold(batches):
+        """Rows in order of language -> one row with all its buckets."""
+        now, held = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([held.astype("<i8").tobytes()], pa.binary())], ["lang", "counts"])
+
+        for batch in batches:
+            bucket, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "n"))
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for lang in dict.fromkeys(langs):
+                if lang != now:
+                    if held is not None:
+                        yield row()
+                    now, held = lang, np.zeros(cfg.buckets, dtype=np.int64)
+                at = langs == lang
+                held[bucket[at]] = n[at]
+        if held is not None:
+            yield row()
+
+    dealt = summed.repartition("lang").sortWithinPartitions("lang")
+    return dealt.select("lang", "bucket", "n").mapInArrow(fold, "lang string, counts binary")
 
 
 @dataclass
@@ -153,14 +182,12 @@ class LangModel:
 
 
 def fit(counts: list, cfg: LangConfig) -> LangModel | None:
-    """The model from (lang, bucket, n) rows: at most languages x buckets of them."""
-    langs = sorted({r["lang"] for r in counts})
-    if not langs:
+    """The model from one (lang, counts) row per language."""
+    found = {r["lang"]: np.frombuffer(r["counts"], dtype="<i8") for r in counts}
+    if not found:
         return None
-    where = {lang: i for i, lang in enumerate(langs)}
-    c = np.full((len(langs), cfg.buckets), cfg.smooth)
-    for r in counts:
-        c[where[r["lang"]], r["bucket"]] += r["n"]
+    langs = sorted(found)
+    c = np.array([found[lang] + cfg.smooth for lang in langs])
     share = c / c.sum(axis=1, keepdims=True)  # every language counts alike
     code = codewords(len(langs))
     weights = np.zeros((cfg.buckets, code.shape[1]))
@@ -194,7 +221,7 @@ def predict(docs: DataFrame, model: LangModel | None, cfg: LangConfig) -> DataFr
                     np.add.at(size, at, np.diff(np.append(starts, len(h))))
                 best, p, gap = model.decode(sums / np.maximum(size, 1)[:, None])
                 for i, t in enumerate(texts):
-                    if t and LETTER.search(t):
+                    if t and has_letter(t):
                         langs[i], score[i], unsure[i] = model.langs[best[i]], p[i], gap[i] < cfg.margin
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score), pa.array(unsure)],
@@ -211,8 +238,10 @@ def identify_languages(docs: DataFrame, train: DataFrame, cfg: LangConfig | None
     """Labels ``docs`` (doc_id, text, held_out) by a model learned from ``train``.
 
     Null or empty text, and text without a letter, is ``und`` with score 0, as is all
-    text when ``train`` has no row with text and lang. Whole texts count, however long;
-    equal losses go to the first language by name; repeated rows are labelled alike.
+    text when ``train`` is empty or has no row with text and lang. Whole texts count,
+    however long; equal losses go to the first language by name; repeated rows are
+    labelled alike and null ids are kept; an empty table gives no rows. Other columns are
+    ignored.
     """
     cfg = cfg or LangConfig()
     usable = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
