@@ -206,11 +206,19 @@ def ratio_weights(docs: DataFrame, target: DataFrame, cfg: QualityConfig) -> lis
     return out
 
 
+def _adding(table: Column):
+    return lambda a, b: a + F.get(table, b)
+
+
 def _score(crc: Column, fold: Column, n: Column, weights: list[int], cfg: QualityConfig) -> Column:
     """The mean weight of the n-grams of a text with ``n`` words."""
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    base = fold * cfg.buckets
-    total = F.aggregate(_grams(crc, cfg), F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b + base))
+    grams, total = _grams(crc, cfg), None
+    # a table per fold: an index that held the fold would be worked out anew for each n-gram
+    for k in range(cfg.folds):
+        own = ",".join(map(str, weights[k * cfg.buckets : (k + 1) * cfg.buckets]))
+        table = F.split(F.lit(own), ",").cast("array<bigint>")
+        part = F.aggregate(grams, F.lit(0).cast("bigint"), _adding(table))
+        total = F.when(fold == k, part) if total is None else total.when(fold == k, part)
     return total / (F.greatest(2 * n - 1, F.lit(1)) * cfg.scale)
 
 
