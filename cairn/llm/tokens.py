@@ -1,15 +1,23 @@
 """Token counts without tokens: Viterbi over Aho-Corasick matches of a unigram vocabulary.
 
+The dynamic programme carries, per position, the best score and the number of pieces of
+the path that has it; no path is kept and none is walked back.
+
 The tie rules are those of the SentencePiece unigram segmenter: a later candidate for the
 same end replaces an earlier one only if its score is strictly higher, and candidates
 come in order of their start, so of equal paths the one with the longest last piece wins.
 A character that no piece of length one covers is unknown, at ten below the least score;
-with byte fallback it counts once per UTF-8 byte, else a run of unknowns counts once.
+with byte fallback it counts once per UTF-8 byte, else a run of unknowns counts once. A
+user-defined piece scores its UTF-8 length times the greatest score, less a tenth. Scores
+are added as the segmenter adds them, in 32 bits, from the start of each stretch that no
+piece can cross (a word); the segmenter itself adds through the whole text, so a text
+whose score no longer fits 24 bits exactly may there lose ties to rounding.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +36,12 @@ class UnigramVocab:
     byte_fallback: bool = True
     dummy_prefix: bool = True
     remove_extra: bool = False
+    user_defined: frozenset[str] = frozenset()
 
     @staticmethod
     def from_sentencepiece(path: str) -> UnigramVocab:
-        """The normal and user-defined pieces of a model file, with their scores."""
+        """The normal and user-defined pieces of a model file, with their scores; control,
+        unknown, byte and unused pieces match no text."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -39,11 +49,13 @@ class UnigramVocab:
             m.ParseFromString(f.read())
         kinds = pb.ModelProto.SentencePiece.Type
         pieces = {p.piece: p.score for p in m.pieces if p.type == kinds.Value("NORMAL")}
+        own = {p.piece for p in m.pieces if p.type == kinds.Value("USER_DEFINED")}
         return UnigramVocab(
             pieces,
             m.trainer_spec.byte_fallback,
             m.normalizer_spec.add_dummy_prefix,
             m.normalizer_spec.remove_extra_whitespaces,
+            frozenset(own),
         )
 
 
@@ -58,62 +70,96 @@ class Counter:
     def __post_init__(self):
         import ahocorasick
 
+        f32 = lambda x: float(np.float32(x))
+        normal = self.vocab.pieces
+        most = f32(max(normal.values(), default=0.0))
+        scores = {p: f32(s) for p, s in normal.items()}
+        scores |= {p: f32(f32(len(p.encode()) * most) - 0.1) for p in self.vocab.user_defined}
         self.auto = ahocorasick.Automaton()
-        for p, s in self.vocab.pieces.items():
+        for p, s in scores.items():
             self.auto.add_word(p, (len(p), s))
         self.auto.make_automaton()
-        self.unk = min(self.vocab.pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        self.unk = f32(min(normal.values(), default=0.0) - UNKNOWN_PENALTY)
+        # whole numbers within 24 bits add up alike in 32 and 64 bits
+        self.whole = all(s <= 0 and s == int(s) for s in (*scores.values(), self.unk))
         # pieces hold blanks only as a prefix: then no piece crosses from word to blank
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.vocab.pieces)
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in scores)
         # a line feed in no piece always stands alone, so lines may be cut apart too
-        self.by_line = self.by_word and not any("\n" in p for p in self.vocab.pieces)
+        self.by_line = self.by_word and not any("\n" in p for p in scores)
         self.score = np.zeros(self.keep + 1)
         self.count = np.zeros((self.keep + 1, 2), dtype=np.int64)
 
     def best(self, text: str) -> tuple[float, int, int]:
         """(score, pieces, unknown characters) of the best path over ``text``."""
-        n = len(text)
-        score = [0.0] + [None] * n
-        start = [0] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
+        if not len(self.auto):
+            return self._unknown(text)
+        if self.whole and self.vocab.byte_fallback:
+            score, count = self._plain(text)
+            if score > -(1 << 24):  # no sum on the best path, and none that beat it, was rounded
+                return score, count & 0xFFFFFFFF, count >> 32
+        score, count = self._rounded(text)
+        return score, count & 0xFFFFFFFF, count >> 32
+
+    def _plain(self, text: str) -> tuple[float, int]:
+        """The pass in 64 bits: score, and pieces with unknown characters above 32 bits."""
+        n, unk = len(text), self.unk
+        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        wide = lambda c: (1 << 32) + len(c.encode("utf-8", "surrogatepass"))
+        at, top, held, single = 0, 0.0, 0, True
         for end, (size, s) in self.auto.iter(text):
-            ends[end + 1].append((size, s))
-        single = [False] * n
-        for e in range(1, n + 1):
-            for size, _ in ends[e]:
-                if size == 1:
-                    single[e - 1] = True
+            if end >= at:  # a new position, end + 1
+                if not single and (v := score[at - 1] + unk) > top:
+                    top, held = v, count[at - 1] + wide(text[at - 1])
+                score[at], count[at] = top, held
+                while at < end:  # positions that no piece ends at
+                    at += 1
+                    score[at], count[at] = score[at - 1] + unk, count[at - 1] + wide(text[at - 1])
+                at, top, held, single = end + 1, score[end + 1 - size] + s, count[end + 1 - size] + 1, size == 1
+                continue
+            # the longest match of an end comes first: candidates in order of their start
+            if (v := score[at - size] + s) > top:
+                top, held = v, count[at - size] + 1
+            if size == 1:
+                single = True
+        if not single and (v := score[at - 1] + unk) > top:
+            top, held = v, count[at - 1] + wide(text[at - 1])
+        score[at], count[at] = top, held
+        while at < n:
+            at += 1
+            score[at], count[at] = score[at - 1] + unk, count[at - 1] + wide(text[at - 1])
+        return score[n], count[n]
+
+    def _rounded(self, text: str) -> tuple[float, int]:
+        """The same with every sum rounded to 32 bits, for any scores and both ways to
+        count unknown characters."""
+        n = len(text)
+        score, count = array("f", [0.0]) * (n + 1), [0] * (n + 1)
+        lost = [False] * (n + 1)  # whether the best path ends in an unknown character
+        found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for end, match in self.auto.iter(text):
+            found[end + 1].append(match)
+        sum_ = array("f", [0.0])
         for e in range(1, n + 1):
             top = None
-            at = 0
-            # the automaton reports the longest match first: ascending starts
-            for size, s in ends[e]:
-                v = score[e - size] + s
-                if top is None or v > top:
-                    top, at = v, e - size
-            if not single[e - 1]:
-                v = score[e - 1] + self.unk
-                if top is None or v > top:
-                    top, at = v, -e  # negative: an unknown character
-            score[e] = top
-            start[e] = at
-        pieces = unknown = 0
-        e, run = n, False
-        while e:
-            at = start[e]
-            if at < 0:
-                unknown += 1
-                at = e - 1
-                if self.vocab.byte_fallback:
-                    pieces += len(text[at].encode("utf-8", "surrogatepass"))
-                elif not run:
-                    pieces += 1
-                run = True
-            else:
-                pieces += 1
-                run = False
-            e = at
-        return score[n], pieces, unknown
+            for size, s in found[e]:
+                sum_[0] = score[e - size] + s
+                if top is None or sum_[0] > top:
+                    top, held = sum_[0], count[e - size] + 1
+            if not any(size == 1 for size, _ in found[e]):
+                sum_[0] = score[e - 1] + self.unk
+                if top is None or sum_[0] > top:
+                    top, held, lost[e] = sum_[0], count[e - 1] + (1 << 32), True
+                    if self.vocab.byte_fallback:
+                        held += len(text[e - 1].encode("utf-8", "surrogatepass"))
+                    else:
+                        held += not lost[e - 1]
+            score[e], count[e] = top, held
+        return score[n], count[n]
+
+    def _unknown(self, text: str) -> tuple[float, int, int]:
+        """What an empty vocabulary makes of ``text``."""
+        pieces = len(text.encode("utf-8", "surrogatepass")) if self.vocab.byte_fallback else bool(text)
+        return self.unk * len(text), int(pieces), len(text)
 
     def _add(self, word: str) -> int:
         at = len(self.known)
@@ -179,9 +225,10 @@ class Counter:
 def count_tokens(docs: DataFrame, vocab: UnigramVocab) -> DataFrame:
     """doc_id, n_tokens, score and n_unknown of every row of ``docs``.
 
-    Null and empty texts count 0 with score 0; repeated rows are counted alike; ties
-    follow the module's rule; other columns are ignored. Memory is bounded by the kept
-    words and one text, whatever its length.
+    Null and empty texts count 0 with score 0; repeated rows are counted alike and null
+    ids are kept; ties follow the module's rule; an empty table gives no rows; other
+    columns are ignored. Memory is bounded by the kept words and one text, whatever its
+    length.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
