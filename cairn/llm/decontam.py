@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WIDTH = 5
 SKETCH = 16
@@ -26,8 +27,10 @@ CONTAINED = 75
 #: Sketch values that must be shared when the sketch is not the whole set: an item
 #: contained at the threshold shares fewer with a chance below 1e-6.
 LEAST = 3
-#: Items handled in one pass over the documents; more are taken in further passes.
-BLOCK = 100_000
+#: Bytes of items (their text and ``EACH`` more for sketch and entries) handled in one pass
+#: over the documents, which bounds what is broadcast; more are taken in further passes.
+BLOCK = 64 << 20
+EACH = 512
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -56,7 +59,7 @@ def rolling_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 @dataclass
 class _Part:
-    """Sketches of the items of one size class."""
+    """Sketches of the items of one size class, in flat arrays."""
 
     limit: np.uint64
     values: np.ndarray  # sorted
@@ -65,27 +68,25 @@ class _Part:
 
 
 class ItemIndex:
-    """Items of one shingle width, partitioned by size."""
+    """Items of one shingle width, partitioned by size; texts are kept as one string each."""
 
     FLAG_BITS = 20
 
     def __init__(self, items: list[tuple[object, list[bytes]]], width: int):
         self.width = width
         self.ids = [i for i, _ in items]
-        self.shingles = [
-            {tuple(w[p : p + width]) for p in range(len(w) - width + 1)} for _, w in items
-        ]
+        self.texts = [b" ".join(w) for _, w in items]
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        self.need = []
+        self.need = np.zeros(len(items), dtype=np.int32)
         for k, (_, w) in enumerate(items):
             least = np.unique(rolling_hashes(w, width))
             n = len(least)
-            self.need.append(-(-CONTAINED * n // 100) if n <= SKETCH else LEAST)
+            self.need[k] = -(-CONTAINED * n // 100) if n <= SKETCH else LEAST
             by_size.setdefault(n.bit_length(), []).append((k, least[:SKETCH]))
         self.parts = []
         for _, group in sorted(by_size.items()):
             values = np.concatenate([s for _, s in group])
-            owner = np.concatenate([np.full(len(s), k) for k, s in group])
+            owner = np.repeat(np.array([k for k, _ in group], dtype=np.int32), [len(s) for _, s in group])
             order = np.argsort(values, kind="stable")
             flags = np.zeros(1 << self.FLAG_BITS, dtype=bool)
             flags[(values & np.uint64((1 << self.FLAG_BITS) - 1)).astype(np.int64)] = True
@@ -101,10 +102,12 @@ class ItemIndex:
             if not len(h):
                 continue
             a, z = np.searchsorted(p.values, h, "left"), np.searchsorted(p.values, h, "right")
-            owners = np.concatenate([p.owner[i:j] for i, j in zip(a, z, strict=True)] or [[]])
-            if len(owners):
-                which, n = np.unique(owners.astype(np.int64), return_counts=True)
-                found += [int(k) for k, c in zip(which, n, strict=True) if c >= self.need[k]]
+            n = z - a
+            total = int(n.sum())
+            if total:
+                owners = p.owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(total)]
+                which, n = np.unique(owners, return_counts=True)
+                found += which[n >= self.need[which]].tolist()
         return found
 
     def contained(self, words: list[bytes]):
@@ -112,27 +115,36 @@ class ItemIndex:
         k = self.width
         found = self.candidates(rolling_hashes(words, k))
         if found:
-            own = set(zip(*[words[i:] for i in range(k)], strict=False))
+            own = shingles(words, k)
             for i in found:
-                shared, n = len(self.shingles[i] & own), len(self.shingles[i])
+                item = shingles(self.texts[i].split(b" "), k)
+                shared, n = len(item & own), len(item)
                 if 100 * shared >= CONTAINED * n:
                     yield self.ids[i], shared, n
 
 
+def shingles(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
+    return set(zip(*[words[i:] for i in range(width)], strict=False))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of every contained item.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. An item of fewer than five
     words is one shingle of all its words, sought as such; items without words and null
     or empty documents match nothing. Repeated rows give repeated results, and an item
-    that stands twice in a document counts once. Whole texts are searched. Other columns
-    are ignored. Items are read in blocks of ``BLOCK``, each one pass over ``docs``.
+    that stands twice in a document counts once. Whole texts are searched, and null ids
+    are ids like others. Without items or documents the result is empty. Other columns
+    are ignored. Items are read in blocks of ``BLOCK`` bytes, each one pass over ``docs``.
+
+    An item of more than ``SKETCH`` shingles is looked at if ``LEAST`` of its sketch are
+    in the document; one contained at the threshold has fewer with a chance below 1e-6.
     """
     spark = docs.sparkSession
     d_kind = docs.schema["doc_id"].dataType.simpleString()
     i_kind = benchmark.schema["item_id"].dataType.simpleString()
     out = f"doc_id {d_kind}, item_id {i_kind}, shared bigint, item_shingles bigint"
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = (to_arrow_type(benchmark.schema["item_id"].dataType), pa.int64(), pa.int64())
 
     def search(indexes):
         def run(batches):
@@ -146,9 +158,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         for hit in index.contained(words):
                             at.append(i)
                             rows.append(hit)
+                found = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array([r[c] for r in rows], k) for c, k in enumerate((arrow_id.get(i_kind, pa.int64()), pa.int64(), pa.int64())))],
-                    ["doc_id", "item_id", "shared", "item_shingles"],
+                    [batch.column("doc_id").take(pa.array(at, pa.int64())), *found], ["doc_id", "item_id", "shared", "item_shingles"]
                 )
 
         return run
@@ -160,7 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item, all columns untouched."""
+    """``docs`` without the documents that contain an item, all columns untouched.
+
+    Null and empty texts contain none and stay, repeated rows share their fate; without
+    items all documents stay.
+    """
 
     def keep(indexes):
         def run(batches):
@@ -194,13 +210,16 @@ def _indexes(benchmark: DataFrame):
 
 
 def _blocks(benchmark: DataFrame):
-    """The items in lists of at most ``BLOCK``, one partition on the driver at a time."""
-    block = []
+    """The items in lists of at most ``BLOCK`` bytes, one partition on the driver at a time;
+    an item of more bytes is a list of its own."""
+    block, held = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
+        size = len((r["text"] or "").encode("utf-8", "replace")) + EACH
+        if block and held + size > BLOCK:
             yield block
-            block = []
+            block, held = [], 0
+        block.append(r)
+        held += size
     if block:
         yield block
 
