@@ -141,7 +141,8 @@ def test_contained_items_against_brute_force(spark):
 
 def test_blocks_short_items_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     bench = spark.createDataFrame([(1, "One TWO"), (2, None), (3, ""), (4, "the same five words here"), (5, "w1 w2 w3 w4 w5 w6 w7")], "item_id int, text string")
-    monkeypatch.setattr(decontam, "BLOCK", 2)
+    monkeypatch.setattr(decontam, "BLOCK", 2 * decontam.EACH + 60)
+    assert [len(b) for b in decontam._blocks(bench)] == [2, 2, 1]
     rows = decontam.contaminated(odd_docs, bench).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, r.item_id) for r in rows), key=key) == [(4, 5), (5, 1), (5, 1), (7, 4), (None, 4)]
@@ -151,6 +152,15 @@ def test_blocks_short_items_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert decontam.contaminated(odd_docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "double", "date", "struct<a:int,b:string>"])
+def test_item_ids_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x")], "doc_id int, text string")
+    one = {"smallint": "3", "string": "'q'", "double": "2.5", "date": "date'2020-01-02'", "struct<a:int,b:string>": "named_struct('a', 1, 'b', 'z')"}[kind]
+    bench = spark.sql(f"SELECT CAST({one} AS {kind}) AS item_id, 'b c d e f' AS text")
+    rows = decontam.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.shared) for r in rows] == [(1, bench.first().item_id, 1)]
+
+
 # -- sharding -------------------------------------------------------------------------
 def test_compaction_keeps_every_row(spark, tmp_path):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij "), (F.col("id") % 90 + 1).cast("int")).alias("text"), F.lit(1).alias("rows"), F.lit(2).alias("tier"))
