@@ -27,16 +27,24 @@ NOTICES = (
     ("agpl-3", "gnu affero general public license version 3"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright"),
     ("gpl", "gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 
@@ -46,48 +54,57 @@ def license_words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(gram, tid, tpos, base, label, m): a fixed table, a few hundred rows."""
+    """(gram, tgram, tid, tpos, base, label, m): the positions of all templates, a fixed
+    table of a few hundred rows; ``gram`` is the hash of the words ``tgram``."""
     rows = []
     for tid, (label, phrase) in enumerate(BASE + NOTICES):
         w = phrase.split()
         for p in range(len(w) - K + 1):
-            rows.append((" ".join(w[p : p + K]), tid, p, tid < len(BASE), label, len(w)))
-    return spark.createDataFrame(
-        rows, "gram string, tid int, tpos int, base boolean, label string, m int"
-    )
+            rows.append((w[p : p + K], tid, p, tid < len(BASE), label, len(w)))
+    grams = spark.createDataFrame(rows, "w array<string>, tid int, tpos int, base boolean, label string, m int")
+    hashed = F.xxhash64(*[F.get("w", F.lit(j)) for j in range(K)])
+    return grams.select(hashed.alias("gram"), F.array_join("w", " ").alias("tgram"), "tid", "tpos", "base", "label", "m")
+
+
+def rolled_grams(w: Column, known: list[int]) -> Column:
+    """(pos, gram, words) of every rolling k-gram of ``w``: its hash and, where a template
+    has that hash, its words."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
+    rolled = F.transform(
+        hashes,
+        lambda h, i: F.struct(
+            i.alias("pos"), h.alias("gram"),
+            F.when(h.isin(known), F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)])).alias("words"),
+        ),
+    )
+    return F.when(F.size(w) >= K, rolled).otherwise(F.array().cast("array<struct<pos:int,gram:bigint,words:string>>"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, labels and spans.
 
-    Every rolling word k-gram of every whole text is joined to the template positions
-    (a fixed, broadcast table) on the words themselves. Hits are summed by diagonal
-    (word position minus template position); diagonals up to ``GAP`` apart are merged,
-    and a span is verified if its hits cover ``COVER`` of the template's words without
-    more than ``GAP`` extra ones. A base phrase needs all its words on one diagonal.
+    The hash of every rolling word k-gram of every whole text is joined to the template
+    positions (a fixed, broadcast table), and a hit is verified on the words. Hits are
+    summed by diagonal (word position minus template position); each diagonal is merged
+    with those up to ``GAP`` beyond it, and a span is verified if its hits cover
+    ``COVER`` of the template's words. A base phrase needs all its words on one diagonal.
+    Of verified spans that chain up (neighbours at most ``GAP`` apart) the best is told,
+    the first of equal ones.
 
     Null and empty texts have no words and no labels, score 0. Repeated rows return as
-    often as they stand. Null ids are kept. Other columns of ``docs`` are ignored.
+    often as they stand. Null ids are kept; an empty table gives no rows. Other columns
+    of ``docs`` are ignored.
     """
-    w = F.col("_w")
-    grams = F.when(
-        F.size(w) >= K,
-        F.transform(
-            F.sequence(F.lit(0), F.size(w) - K),
-            lambda i: F.struct(
-                i.alias("pos"),
-                F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)]).alias("gram"),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
-    own = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("gram"))
+    templates = template_grams(docs.sparkSession)
+    known = sorted({r[0] for r in templates.select("gram").collect()})  # a fixed table
+    own = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("string").alias("words"))
     rolled = (
         docs.select("doc_id", F.xxhash64("text").alias("_h"), license_words(F.col("text")).alias("_w"))
-        .select("doc_id", "_h", F.size("_w").cast("bigint").alias("n_words"), F.concat(F.array(own), grams).alias("_g"))
+        .select("doc_id", "_h", F.size("_w").cast("bigint").alias("n_words"), F.concat(F.array(own), rolled_grams(F.col("_w"), known)).alias("_g"))
         .select("doc_id", "_h", "n_words", F.inline_outer("_g"))
     )
-    hits = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "gram", "left").filter(
-        (F.col("pos") < 0) | F.col("tid").isNotNull()
+    hits = rolled.join(F.broadcast(templates), "gram", "left").filter(
+        (F.col("pos") < 0) | (F.col("tgram") == F.col("words"))
     )
     key = ["doc_id", "_h", "n_words"]
     diagonals = (
@@ -99,30 +116,26 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         )
     )
     near = Window.partitionBy(*key, "tid").orderBy("diag")
+    merged = F.array_distinct(F.flatten(F.collect_list("tpos").over(near.rangeBetween(0, GAP))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(merged, lambda t: F.sequence(t, t + F.lit(K - 1))))))
+    cover = F.when(F.col("tid").isNotNull(), covered / F.col("m"))
+    exact = F.size("tpos") == F.col("m") - K + 1
     apart = F.col("diag") - F.lag("diag").over(near)
     spans = (
-        diagonals.withColumn("_new", F.coalesce((apart > GAP).cast("int"), F.lit(0)))
-        .withColumn("_span", F.sum("_new").over(near))
-        .groupBy(*key, "tid", "base", "label", "m", "_span")
+        diagonals.withColumn("cover", cover)
+        .withColumn("_new", F.coalesce((apart > GAP).cast("int"), F.lit(0)))
+        .withColumn("_chain", F.sum("_new").over(near))
+        # a base phrase is only ever exact
+        .withColumn("ok", F.when(F.col("base"), exact).otherwise(F.col("cover") >= COVER))
+        .groupBy(*key, "tid", "base", "label", "m", "_chain")
         .agg(
             F.max("copies").alias("copies"),
-            F.min("diag").alias("d0"),
-            F.max("diag").alias("d1"),
-            F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"),
-            F.array_sort(
-                F.collect_list(F.when(F.size("tpos") == F.col("m") - K + 1, F.col("diag")))
-            ).alias("exact"),
-        )
-    )
-    covered = F.size(
-        F.array_distinct(
-            F.flatten(F.transform("tpos", lambda t: F.sequence(t, t + F.lit(K - 1))))
+            F.max(F.when(F.col("ok"), F.struct("cover", (-F.col("diag")).alias("d")))).alias("best"),
+            F.array_sort(F.collect_list(F.when(exact, F.col("diag")))).alias("exact"),
         )
     )
-    judged = spans.withColumn("cover", F.when(F.col("tid").isNotNull(), covered / F.col("m")))
-    found = (F.col("cover") >= COVER) & (F.col("d1") - F.col("d0") <= GAP)
-    # a base phrase is only ever exact; a long merge of diagonals keeps its exact places
-    ok = F.when(F.col("base"), F.size("exact") > 0).otherwise(found | (F.size("exact") > 0))
+    judged = spans.select("*", F.col("best.cover").alias("cover"), (-F.col("best.d")).alias("d0"))
+    ok = F.col("best").isNotNull()
     span = F.struct(
         F.col("d0").cast("bigint").alias("start"), F.col("m").alias("words"), "label", "cover"
     )
@@ -164,11 +177,8 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(c
 g AS (SELECT rid, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM (SELECT rid, w, unnest(range(0, len(w) - {K - 1})) AS pos FROM d WHERE len(w) >= {K})),
 h AS (SELECT rid, tid, base, label, m, pos - tpos AS diag, tpos FROM g JOIN tg USING (gram)),
 dg AS (SELECT rid, tid, base, label, m, diag, count(*) AS c FROM h GROUP BY ALL),
-sp AS (SELECT *, sum(CASE WHEN diag - prev > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, tid ORDER BY diag) AS span
-  FROM (SELECT *, lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) AS prev FROM dg)),
-cv AS (SELECT sp.rid, sp.tid, sp.span, count(DISTINCT h.tpos + k) AS covered FROM sp JOIN h USING (rid, tid, diag), range({K}) r(k) GROUP BY ALL),
-j AS (SELECT rid, tid, base, label, m, span, max(diag) - min(diag) AS wide, count(*) FILTER (WHERE c = m - {K - 1}) AS exact FROM sp GROUP BY ALL),
-o AS (SELECT j.*, covered / m AS cover, exact > 0 OR (NOT base AND covered / m >= {COVER} AND wide <= {GAP}) AS ok FROM j JOIN cv USING (rid, tid, span)),
+cv AS (SELECT dg.rid, dg.tid, dg.diag, count(DISTINCT h.tpos + k) AS covered FROM dg JOIN h ON h.rid = dg.rid AND h.tid = dg.tid AND h.diag BETWEEN dg.diag AND dg.diag + {GAP}, range({K}) r(k) GROUP BY ALL),
+o AS (SELECT dg.*, covered / m AS cover, CASE WHEN base THEN c = m - {K - 1} ELSE covered / m >= {COVER} END AS ok FROM dg JOIN cv USING (rid, tid, diag)),
 b AS (SELECT rid, count(*) AS n, min(diag) AS lo, max(diag) AS hi FROM dg WHERE base AND c = m - {K - 1} GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(least(cover, 1.0::DOUBLE)) AS score FROM o WHERE ok GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(l.bl, '') AS base_labels, coalesce(l.al, '') AS labels,
