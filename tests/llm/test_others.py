@@ -529,6 +529,48 @@ def test_base_phrases_and_method(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def voted(text):
+    """(labels, score) by looking at every diagonal of every template."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
+    k, labels, score = licenses.K, set(), 0.0
+    for tid, (label, phrase) in enumerate(licenses.BASE + licenses.NOTICES):
+        t = phrase.split()
+        at = {}
+        for q in range(len(t) - k + 1):
+            for p in range(len(w) - k + 1):
+                if w[p : p + k] == t[q : q + k]:
+                    at.setdefault(p - q, set()).add(q)
+        for d, own in at.items():
+            seen = {q + j for e in range(d, d + licenses.GAP + 1) for q in at.get(e, ()) for j in range(k)}
+            if len(own) == len(t) - k + 1 if tid < len(licenses.BASE) else len(seen) / len(t) >= licenses.COVER:
+                labels.add(label)
+                score = max(score, len(seen) / len(t))
+    return ",".join(sorted(labels)), score
+
+
+def test_spans_by_brute_force(spark):
+    """Damaged notices, and long chains of neighbouring diagonals with one good span."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(150):
+        out = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(licenses.BASE + licenses.NOTICES)[1].split()
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = [rng.choice(("the", "of", "x", "license"))] * rng.randint(0, 2)
+                t = t or ["x"]
+            out += t[: rng.randint(1, len(t))] if rng.random() < 0.3 else t
+        texts.append(" ".join(out))
+    t = licenses.NOTICES[2][1].split()
+    chain = [x for i in range(len(t) - 4) for x in [*t[i : i + 4], "x", "y", "z"][: 4 + rng.randint(0, 3)]]
+    texts += [" ".join(chain + t[:-1] + chain), " ".join(chain)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        labels, score = voted(texts[r.doc_id])
+        assert r.labels == labels and r.score == pytest.approx(score), texts[r.doc_id][:80]
+
+
 def test_whole_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
