@@ -23,7 +23,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "ob": (["pk"], f"""SELECT 'pack-' || pack AS key, created, CASE WHEN k % 5 = 0 THEN 0 ELSE {NOW} - k % 8 * 86400 END AS last_accessed FROM pk WHERE k % 9 <> 4
         UNION ALL SELECT 'pack-' || pack, created, {NOW} - 6 * 86400 FROM pk WHERE k % 9 <> 4 AND k % 3 = 0
         UNION ALL SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pack-' || p_partkey ELSE 'pack-' || sha256('orphan-' || p_partkey) END, {NOW} - p_partkey % 3 * 86400,
-          CASE WHEN p_partkey % 5 = 0 THEN {NOW} - 60 ELSE {NOW} - p_partkey % 9 * 86400 END FROM part WHERE p_partkey <= 40"""),
+          CASE WHEN p_partkey % 5 = 0 THEN {NOW} - 60 ELSE {NOW} - p_partkey % 9 * 86400 END FROM part"""),
     "op": (["ob"], "SELECT *, substr(key, 6) AS pack FROM ob WHERE regexp_full_match(key, 'pack-[0-9a-f]{64}')"),
     "lru": (["op"], "SELECT pack, coalesce(min(nullif(last_accessed, 0)), 0) AS lru FROM op GROUP BY pack"),
     "rc": ([], ""),  # filled in by recent()
@@ -153,7 +153,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'touch_packs', count(*) FROM tch UNION ALL SELECT 'orphans', count(*) FROM orp""", "cp", "ev", "heal", "dr", "dp", "del", "tch", "orp"),
     "gc_apply_chunks": sql("SELECT chunk, csize, survived + CASE WHEN chunk IN (SELECT chunk FROM cp) THEN 1 ELSE 0 END AS survived FROM ch WHERE chunk IN (SELECT chunk FROM lc)", "ch", "lc", "cp"),
     "gc_apply_packs": sql("SELECT pack, size, created, tier FROM pks WHERE pack IN (SELECT pack FROM ch WHERE chunk IN (SELECT chunk FROM lc))", "pks", "ch", "lc"),
-    "manifest_versions_to_delete": f"SELECT 'm3#' || p_partkey AS key, p_partkey AS idx FROM part WHERE p_partkey <= 60 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey < 59 AND p_partkey % 9 <> 0 AND p_partkey * 120 > 3600",
+    "manifest_versions_to_delete": """SELECT 'm3#' || p_partkey AS key, p_partkey AS idx FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 9 <> 0 AND p_partkey * 120 > 3600
+        AND p_partkey < (SELECT max(p_partkey) FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0)""",
     "lookup_status": sql("SELECT path, status, nar_size FROM lk", "lk"),
     "drain_classify": sql("SELECT path, outcome FROM oc", "oc"),
     "drain_stats": sql("SELECT count(*) FILTER (WHERE outcome = 'push') AS pushed, count(*) FILTER (WHERE outcome = 'bump') AS skipped_existing, count(*) FILTER (WHERE outcome = 'upstream') AS skipped_upstream, count(*) FILTER (WHERE outcome = 'unknown') AS \"unknown\", count(*) FILTER (WHERE outcome = 'malformed') AS malformed, CAST(coalesce(sum(nar_size) FILTER (WHERE outcome = 'push'), 0) AS BIGINT) AS pushed_bytes FROM oc", "oc"),
@@ -171,7 +172,7 @@ ORACLES: dict[str, str] = {
     "matrix_drvs": sql("SELECT DISTINCT drv_path FROM jb", "jb"),
     "runner_map": "SELECT * FROM (VALUES ('x86_64-linux', 'self-hosted,x64'), ('aarch64-linux', 'ubuntu-24.04-arm'), ('x86_64-darwin', 'macos-15-intel'), ('aarch64-darwin', 'macos-latest'), ('riscv64-linux', 'rv')) t(system, labels)",
     "parse_timestamps": """SELECT event_id, sec, CASE WHEN sec IS NOT NULL THEN strftime(make_timestamp(sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS stamp FROM (
-        SELECT event_id, CASE WHEN event_id % 6 < 3 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN event_id % 6 = 5 AND day(last_day(ts)) = 31 THEN CAST(epoch(date_trunc('month', ts)) AS BIGINT) + 31 * 86400 - 1 END AS sec FROM events WHERE event_id < 1000)""",
+        SELECT event_id, CASE WHEN event_id % 6 < 3 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN event_id % 6 = 5 AND day(last_day(ts)) = 31 THEN CAST(epoch(date_trunc('month', ts)) AS BIGINT) + 31 * 86400 - 1 END AS sec FROM events)""",
     "human_bytes": """SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0::DOUBLE < 1023.95 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n / 1048576.0::DOUBLE < 1023.95 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE)
         WHEN n / 1073741824.0::DOUBLE < 1023.95 THEN printf('%.1f GiB', n / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', n / 1099511627776.0::DOUBLE) END AS text FROM (
         SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey * p_partkey * 1021 ELSE p_partkey * p_partkey * p_partkey * 524287 END AS n FROM part)""",
