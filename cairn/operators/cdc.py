@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.layout import greedy_packs, joined_blobs
+
 WINDOW = 64
 HASH = 32  # hex digits of a chunk key
 
@@ -147,15 +149,11 @@ def build_packs(frames: DataFrame, part: str, order: list[str], target: int) ->
     The layout comes from the narrow rows; frames join it last and are concatenated in
     order. A pack is named by the digest of its bytes.
     """
-    from cairn.operators.layout import greedy_packs
-
     narrow = frames.select("chunk", part, *order, F.col("csize").alias("size"))
     placed = greedy_packs(narrow, part, order, target).select("chunk", part, "pack_no", "offset")
     rows = placed.join(frames.select("chunk", "frame"), "chunk")
-    parts = F.array_sort(F.collect_list(F.struct("offset", "frame")))
-    blob = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["frame"]))
-    return rows.groupBy(part, "pack_no").agg(blob.alias("blob")).select(
-        part, "pack_no", F.sha2("blob", 256).alias("pack"), F.octet_length("blob").cast("bigint").alias("size"), "blob"
+    return joined_blobs(rows, [part, "pack_no"], ["offset"], "frame").withColumnRenamed("digest", "pack").select(
+        part, "pack_no", "pack", "size", "blob"
     )
 
 

@@ -11,8 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import human_bytes
+from cairn.operators.cdc import extract
 from cairn.operators.graph import reachable
+from cairn.operators.layout import PACK_TARGET, adjacent_runs, greedy_packs, joined_blobs
 from cairn.session import checkpoint
+from cairn.sources.objects import ObjectStore
 
 HOUR, DAY = 3600, 86400
 VOLATILE, STABLE = 0, 1
@@ -75,6 +79,35 @@ def expired_roots(roots: DataFrame, now: int, p: GcPolicy) -> DataFrame:
     return roots.filter(age(now, "updated") > p.root_ttl).select("root_key").distinct()
 
 
+class _Kept:
+    """The tables of a catalog, each written down when it is first asked for: a plan reads
+    them many times, and what they derive from (documents, versions) is read once."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables, self.made = tables, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = checkpoint(self.tables[name])
+        return self.made[name]
+
+
+def unguarded(packs: DataFrame, *guards: DataFrame | None) -> DataFrame:
+    """``packs`` less those in any of ``guards``: versions that still refer to them, and
+    packs that another writer has just pushed or touched."""
+    for g in guards:
+        if g is not None:
+            packs = packs.join(g.select("pack"), "pack", "left_anti")
+    return packs
+
+
+def retained_orphans(keys: DataFrame, committed: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Orphan ``keys`` that neither the committed packs nor a protected version refer to; a
+    key that names no pack is nobody's and stays in the set."""
+    rows = keys.select("key", parse_pack_key(F.col("key")).alias("pack"))
+    return unguarded(rows, committed, protected).select("key")
+
+
 class Plan:
     """The plan sets, each a DataFrame built on first use.
 
@@ -84,14 +117,23 @@ class Plan:
     """
 
     def __init__(self, cat: dict[str, DataFrame], observations: DataFrame, now: int, policy: GcPolicy | None = None, protected: DataFrame | None = None):
-        self.cat, self.obs, self.now, self.p, self.protected = cat, observations, now, policy or GcPolicy(), protected
         self._made: dict[str, DataFrame] = {}
+        self.now, self.p, self.protected = now, policy or GcPolicy(), protected
+        self.cat, self._obs = _Kept(cat), observations
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = checkpoint(make())
         return self._made[name]
 
+    @property
+    def obs(self) -> DataFrame:
+        return self._once("obs", lambda: self._obs)
+
+    @property
+    def recent(self) -> DataFrame:
+        return self._once("recent", lambda: recent_packs(self.obs, self.now, self.p.min_age))
+
     @property
     def evicted(self) -> DataFrame:
         return self._once("evicted", lambda: evicted_packs(self.cat["packs"], self.obs, self.now, self.p))
@@ -221,7 +263,7 @@ class Plan:
         rows = rows.join(self.cat["packs"].select("pack"), "pack", "left_anti")
         if self.protected is not None:
             rows = rows.join(self.protected, "pack", "left_anti")
-        return rows.join(recent_packs(self.obs, self.now, self.p.min_age), "pack", "left_anti").select("key").distinct()
+        return rows.join(self.recent, "pack", "left_anti").select("key").distinct()
 
     def summary(self) -> DataFrame:
         """(measure, value): the size of each plan set, and the bytes to download."""
@@ -229,14 +271,20 @@ class Plan:
             "evicted": self.evicted, "heal": self.heal, "drop_roots": self.drop_roots, "drop_paths": self.drop_paths,
             "repack_copies": self.copies, "delete_packs": self.delete_packs, "touch_packs": self.touch_packs, "orphans": self.orphan_keys,
         }
-        out = self.copies.agg(F.coalesce(F.sum("csize"), F.lit(0)).alias("value")).select(F.lit("download_bytes").alias("measure"), "value")
+        sums = self.copies.agg(F.coalesce(F.sum("csize"), F.lit(0)).alias("b"), F.count_distinct("tier").alias("j"))
+        out = sums.select(F.inline(F.array(
+            F.struct(F.lit("download_bytes").alias("measure"), F.col("b").alias("value")),
+            F.struct(F.lit("repack_jobs").alias("measure"), F.col("j").alias("value")),
+        )))
         for name, df in sets.items():
             out = out.union(df.agg(F.count(F.lit(1))).select(F.lit(name), F.col("count(1)")))
         return out
 
     def apply(self, moved: DataFrame | None = None, new_packs: DataFrame | None = None) -> dict[str, DataFrame]:
         """The catalog after the plan. ``moved``: chunk, from_pack, pack, offset, survived
-        of repacked chunks; a chunk that meanwhile lives elsewhere keeps its place."""
+        of repacked chunks; a chunk that meanwhile lives elsewhere keeps its place. A pack
+        that was already known keeps its higher tier. ``deletable`` has passed both guards:
+        protected versions and recency."""
         c = self.cat
         paths = c["paths"].join(self.drop_paths.union(self.heal), "path", "left_anti")
         hit = self.reached.select("path", F.lit(True).alias("_hit"))
@@ -257,7 +305,7 @@ class Plan:
             )
         chunks = chunks.join(self.live_chunks, "chunk", "left_semi")
         kept = packs.join(chunks.select("pack").distinct(), "pack", "left_semi")
-        deletable = self.delete_packs.join(kept.select("pack"), "pack", "left_anti")
+        deletable = unguarded(self.delete_packs, kept, self.recent)
         return {
             "paths": paths,
             "file_chunks": c["file_chunks"].join(paths.select("path"), "path", "left_semi"),
@@ -269,23 +317,79 @@ class Plan:
         }
 
 
-def relocate(copies: DataFrame, now: int, target: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """(moved, new packs) of repack jobs, from the metadata alone.
+def plan_line(summary: DataFrame) -> DataFrame:
+    """One line of what a plan would do, from its (measure, value) rows."""
+    n = {m: F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in (
+        "evicted", "heal", "drop_roots", "drop_paths", "repack_jobs", "repack_copies", "download_bytes", "touch_packs", "delete_packs", "orphans")}
+    text = lambda c: F.col(c).cast("string")
+    return summary.agg(*n.values()).select(
+        F.concat(
+            F.lit("evicted "), text("evicted"), F.lit(" pack(s); heal "), text("heal"), F.lit(" path(s); drop "), text("drop_roots"),
+            F.lit(" root(s) + "), text("drop_paths"), F.lit(" path(s); repack "), text("repack_jobs"), F.lit(" job(s) ("), text("repack_copies"),
+            F.lit(" chunk(s), "), human_bytes(F.col("download_bytes")), F.lit(" copied); touch "), text("touch_packs"),
+            F.lit(" pack(s); delete "), text("delete_packs"), F.lit(" pack(s) + "), text("orphans"), F.lit(" orphan(s)"),
+        ).alias("line")
+    )
+
 
-    Copies are laid out per tier in (pack, offset) order and sealed at ``target`` bytes;
-    a pack is named by the hash of its ordered chunks.
-    """
-    order = Window.partitionBy("tier").orderBy("pack", "offset")
-    before = F.coalesce(F.sum("csize").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = copies.withColumn("_at", before).withColumn("_no", F.floor(F.col("_at") / target))
-    per = Window.partitionBy("tier", "_no")
-    placed = cut.withColumn("_off", F.col("_at") - F.min("_at").over(per))
-    names = placed.groupBy("tier", "_no").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_off", "chunk"))), lambda x: x["chunk"]), ","), 256).alias("new"),
+def laid_out(copies: DataFrame, target: int) -> DataFrame:
+    """Copies with the (tier, pack_no, at) of their new home: per tier in (pack, offset)
+    order, a pack sealed once an append reaches ``target``."""
+    rows = copies.select("chunk", "tier", "pack", F.col("offset").alias("from_offset"), F.col("csize").alias("size"))
+    placed = greedy_packs(rows, "tier", ["pack", "from_offset"], target)
+    home = placed.select("chunk", F.col("tier").alias("_t"), "pack_no", F.col("offset").alias("at"))
+    return copies.join(home, "chunk").drop("_t")
+
+
+def relocate(copies: DataFrame, now: int, target: int = PACK_TARGET) -> tuple[DataFrame, DataFrame]:
+    """(moved, new packs) of repack jobs, from the metadata alone: a pack is named by the
+    hash of its ordered chunks."""
+    placed = checkpoint(laid_out(copies, target))
+    names = placed.groupBy("tier", "pack_no").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), ","), 256).alias("new"),
         F.sum("csize").alias("size"),
     )
-    moved = placed.join(names, ["tier", "_no"]).select(
-        "chunk", F.col("pack").alias("from_pack"), F.col("new").alias("pack"), F.col("_off").alias("offset"), (F.col("survived") + 1).alias("survived")
+    moved = placed.join(names, ["tier", "pack_no"]).select(
+        "chunk", F.col("pack").alias("from_pack"), F.col("new").alias("pack"), F.col("at").alias("offset"), (F.col("survived") + 1).alias("survived")
     )
     packs = names.select(F.col("new").alias("pack"), "size", F.lit(now).alias("created"), "tier")
     return moved, packs
+
+
+def raw_frames(frames: DataFrame) -> DataFrame:
+    """``frames`` (chunk, frame, ...) stored as they are: an error unless they hash to
+    their chunk."""
+    good = F.substring(F.sha2("frame", 256), 1, 32) == F.col("chunk")
+    return frames.withColumn("frame", F.when(good, F.col("frame")).otherwise(F.raise_error(F.concat(F.lit("corrupt chunk "), F.col("chunk"))).cast("binary")))
+
+
+def zstd_frames(frames: DataFrame) -> DataFrame:
+    """``frames`` (chunk, usize, frame, ...) that decompress to their chunk; else an error."""
+    checked = extract(frames.select("chunk", "usize", "frame")).select("chunk", F.col("ok"), "error")
+    bad = F.raise_error(F.concat(F.col("error"), F.lit(" chunk "), F.col("chunk"))).cast("binary")
+    return frames.join(checked, "chunk").withColumn("frame", F.when(F.col("ok"), F.col("frame")).otherwise(bad)).drop("ok", "error")
+
+
+def repack(copies: DataFrame, objects: ObjectStore, now: int, target: int = PACK_TARGET, verified=raw_frames) -> dict[str, DataFrame]:
+    """Executes repack jobs on the stored bytes: moved, packs (with blob), downloaded (runs).
+
+    Sources that have vanished are skipped, their chunks keep their places. Adjacent
+    frames are one range read, which must return exactly its bytes; every frame is
+    verified before it enters a new pack, named by the digest of its bytes.
+    """
+    there = objects.listing("pack-").select(F.substring("key", 6, 64).alias("pack")).distinct()
+    copies = checkpoint(copies.join(there, "pack", "left_semi"))
+    runs = adjacent_runs(copies.select("pack", "offset", "csize"))
+    reads = objects.read(runs.select(F.concat(F.lit("pack-"), "pack").alias("key"), "start", (F.col("start") + F.col("size")).alias("end")))
+    reads = reads.select(F.substring("key", 6, 64).alias("_p"), "start", "end", "data")
+    inside = (F.col("pack") == F.col("_p")) & (F.col("offset") >= F.col("start")) & (F.col("offset") + F.col("csize") <= F.col("end"))
+    piece = F.expr("substring(data, CAST(offset - start + 1 AS INT), CAST(csize AS INT))")
+    frames = verified(laid_out(copies, target).join(reads, inside).withColumn("frame", piece).drop("_p", "start", "end", "data"))
+    placed = checkpoint(frames)
+    blobs = checkpoint(joined_blobs(placed, ["tier", "pack_no"], ["at"], "frame"))
+    names = blobs.select("tier", "pack_no", F.col("digest").alias("new"))
+    moved = placed.join(names, ["tier", "pack_no"]).select(
+        "chunk", F.col("pack").alias("from_pack"), F.col("new").alias("pack"), F.col("at").alias("offset"), (F.col("survived") + 1).alias("survived")
+    )
+    packs = blobs.select(F.col("digest").alias("pack"), "size", F.lit(now).alias("created"), "tier", "blob")
+    return {"moved": moved, "packs": packs, "runs": runs}

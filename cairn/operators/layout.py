@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,46 +19,99 @@ def _before(part: list[str], *order: str):
     return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def folded(rows: DataFrame, part: str, order: list[str], out: str, start: Callable[[], Callable]) -> DataFrame:
+    """``rows`` with columns ``out`` of a sequential fold over each ``part`` in ``order``.
+
+    Rows are dealt by ``part``, sorted and streamed: ``start`` makes the step of a new part,
+    a function of a row's ``size`` that returns the new values and keeps its own state, so
+    a task holds one batch and one state however long a part is.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            made = []
+            for key, size in zip(batch.column(part).to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if step is None or key != now:
+                    now, step = key, start()
+                made.append(step(size))
+            cols = list(zip(*made, strict=True)) if made else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in cols]], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", " + out
+    return rows.repartition(part).sortWithinPartitions(part, *order).mapInArrow(run, schema)
+
+
 def greedy_packs(chunks: DataFrame, part: str, order: list[str], target: int = PACK_TARGET) -> DataFrame:
     """``chunks`` with pack_no and offset: a pack is sealed once an append reaches ``target``.
 
     Greedy sealing is a fold, sequential per builder; ``part`` names the builder, and
-    only its narrow rows (order, size) are folded, in one Arrow group.
+    only its narrow rows (order, size) are streamed through it.
     """
-    keys = [part, *order, "size"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        no, at, nos, offs = 0, 0, [], []
-        for size in pdf["size"]:
-            nos.append(no)
-            offs.append(at)
+
+    def start():
+        no = at = 0
+
+        def step(size):
+            nonlocal no, at
+            placed = no, at
             at += size
             if at >= target:
                 no, at = no + 1, 0
-        return pdf.assign(pack_no=nos, offset=offs)
+            return placed
 
-    narrow = chunks.select("chunk", *keys)
-    schema = ", ".join(f"{n} {t}" for n, t in narrow.dtypes) + ", pack_no bigint, offset bigint"
-    return narrow.groupBy(part).applyInPandas(fold, schema)
+        return step
+
+    return folded(chunks.select("chunk", part, *order, "size"), part, order, "pack_no bigint, offset bigint", start)
 
 
 def export_windows(items: DataFrame, part: str, order: list[str], most: int = EXPORT_WINDOW) -> DataFrame:
     """``items`` with window: closed before an item that would bring it over ``most``."""
-    narrow = items.select(part, "path", *[c for c in order if c != "path"], "size")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        no, total, held, nos = 0, 0, 0, []
-        for size in pdf["size"]:
+    def start():
+        no = total = held = 0
+
+        def step(size):
+            nonlocal no, total, held
             if held and total + size > most:
                 no, total, held = no + 1, 0, 0
             total, held = total + size, held + 1
-            nos.append(no)
-        return pdf.assign(window=nos)
+            return (no,)
 
-    schema = ", ".join(f"{n} {t}" for n, t in narrow.dtypes) + ", window bigint"
-    return narrow.groupBy(part).applyInPandas(fold, schema)
+        return step
+
+    narrow = items.select(part, "path", *[c for c in order if c != "path"], "size")
+    return folded(narrow, part, order, "window bigint", start)
+
+
+def joined_blobs(rows: DataFrame, part: list[str], order: list[str], data: str) -> DataFrame:
+    """(``part``, digest, size, blob): the ``data`` of each part put together in ``order``.
+
+    Rows are dealt by part, sorted and streamed; a task holds one blob at a time.
+    """
+    cols = rows.select(*part, *order, data)
+    kinds = [f"`{n}` {t}" for n, t in cols.dtypes[: len(part)]]
+
+    def run(batches):
+        def close(key, held):
+            blob = b"".join(held)
+            row = [*key, hashlib.sha256(blob).hexdigest(), len(blob), blob]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [*part, "digest", "size", "blob"])
+
+        now, held, types = None, [], []
+        for batch in batches:
+            types = [*[batch.schema.field(c).type for c in part], pa.string(), pa.int64(), pa.binary()]
+            for *key, piece in zip(*(batch.column(c).to_pylist() for c in (*part, data)), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield close(now, held)
+                    now, held = key, []
+                held.append(piece)
+        if now is not None:
+            yield close(now, held)
+
+    return cols.repartition(*part).sortWithinPartitions(*part, *order).mapInArrow(run, ", ".join(kinds) + ", digest string, size bigint, blob binary")
 
 
 def wire_encode(locations: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from cairn.functions import text as txt
 from cairn.functions.versions import tag_key
 from cairn.operators import cdc, gc, graph, ingest, layout, matrix, merge, refnorm, report, serve
+from cairn.operators.collector import Collector, report_line
 from cairn.plans.oracle import ORACLES  # noqa: F401
+from cairn.session import checkpoint, shared_dir
 from cairn.sources import derive as d
 from cairn.sources.derive import DAY, NOW
+from cairn.sources.objects import ObjectStore
+from cairn.sources.store import VersionStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,7 +226,7 @@ def merge_roots(s, sf):
 
 # -- collector ------------------------------------------------------------------------
 def _catalog(s, sf):
-    loc = d.locations(s, sf)
+    loc = checkpoint(d.locations(s, sf))
     return {
         "paths": d.paths(s, sf).drop("doc_id"), "references": d.references(s, sf),
         "file_chunks": d.file_chunks(s, sf).select("path", "chunk"), "chunks": loc.drop("k"),
@@ -246,8 +251,13 @@ def recent_packs(s, sf):
 
 @query
 def protected_packs(s, sf):
-    p = d.packs(d.locations(s, sf))
-    return p.filter("k % 3 = 0").select("pack").union(p.filter("k % 2 = 0").select("pack")).distinct()
+    """Packs of two versions that a store still holds; a third has been cleaned up."""
+    p = checkpoint(d.packs(d.locations(s, sf)))
+    store = VersionStore(s, f"{shared_dir(s)}/protected-{uuid.uuid4().hex}", "m3")
+    for day, part in ((9, "k % 5 = 0"), (1, "k % 3 = 0"), (0, "k % 2 = 0")):
+        store.save(lambda _, part=part: {"packs": p.filter(part)}, now=NOW - day * DAY)
+    store.cleanup(NOW, 7 * DAY)
+    return store.protected()
 
 
 @query
@@ -300,11 +310,113 @@ def gc_plan_summary(s, sf):
     return _plan(s, sf).summary()
 
 
+@query
+def gc_delete_packs_default(s, sf):
+    return _plan(s, sf).delete_packs
+
+
+@query
+def gc_touch_packs_default(s, sf):
+    return _plan(s, sf).touch_packs.select("pack", "ordinal")
+
+
+@query
+def gc_plan_line(s, sf):
+    return gc.plan_line(_plan(s, sf).summary())
+
+
 @query
 def gc_apply_chunks(s, sf):
+    """All chunks after the plan, repacked ones in packs sealed at the target."""
+    p = _plan(s, sf)
+    moved, new = gc.relocate(p.copies, NOW, d.PACK_BYTES)
+    return p.apply(moved, new)["chunks"].select("chunk", "pack", "offset", "csize", F.col("survived").cast("bigint").alias("survived"))
+
+
+@query
+def gc_apply_repacked(s, sf):
+    """The packs that the default plan leaves, new ones among them."""
     p = _plan(s, sf)
     moved, new = gc.relocate(p.copies, NOW, d.PACK_BYTES)
-    return p.apply(moved, new)["chunks"].select("chunk", "csize", F.col("survived").cast("bigint").alias("survived"))
+    return p.apply(moved, new)["packs"].select("pack", "size", "created", "tier")
+
+
+def _protecting(s, sf):
+    cat = _catalog(s, sf)
+    protected = cat["packs"].filter("k % 4 = 1").select("pack")
+    return gc.Plan(cat, d.observations(s, sf, cat["packs"]), NOW, protected=protected)
+
+
+@query
+def gc_guarded_deletes(s, sf):
+    """What may be deleted after the commit: neither protected nor recently touched."""
+    p = _protecting(s, sf)
+    moved, new = gc.relocate(p.copies, NOW, d.PACK_BYTES)
+    return p.apply(moved, new)["deletable"]
+
+
+@query
+def gc_retained_orphans(s, sf):
+    """Of all listed keys those that no pack of the commit or of a protected version claims."""
+    p = _protecting(s, sf)
+    return gc.retained_orphans(p.obs.select("key").distinct(), p.apply()["packs"], p.protected)
+
+
+def _stored(s, sf):
+    """A store with one version, and the objects that hold its packs: some packs have no
+    object, some objects no version, and one lies in another namespace."""
+    cat = _catalog(s, sf)
+    cat = {n: checkpoint(t) for n, t in cat.items()}
+    top = f"{shared_dir(s)}/stored-{uuid.uuid4().hex}"
+    store, objects = VersionStore(s, f"{top}/catalog", "m3"), ObjectStore(s, f"{top}/objects")
+    store.save(lambda _: {n: t.drop("k") for n, t in cat.items()}, now=NOW - 2 * DAY)
+    data = d.file_chunks(s, sf).select("chunk", F.col("data").cast("binary").alias("data")).dropDuplicates(["chunk"])
+    blobs = layout.joined_blobs(cat["chunks"].join(data, "chunk"), ["pack"], ["offset"], "data").select("pack", "blob")
+    k = F.col("k")
+    own = cat["packs"].filter(k % 9 != 4).join(blobs, "pack").select(
+        F.concat(F.lit("pack-"), "pack").alias("key"), "blob", "created", F.when(k % 5 == 0, 0).otherwise(NOW - k % 8 * DAY).alias("accessed")
+    )
+    n = F.col("p_partkey")
+    foreign = d.table(s, sf, "part").select(
+        F.when(n % 4 == 0, F.concat(F.lit("pack-"), n.cast("string"))).otherwise(F.concat(F.lit("pack-"), F.sha2(F.concat(F.lit("orphan-"), n.cast("string")), 256))).alias("key"),
+        F.lit(b"x").alias("blob"), (NOW - n % 3 * DAY).alias("created"), F.when(n % 5 == 0, F.lit(NOW - 60)).otherwise(NOW - n % 9 * DAY).alias("accessed"),
+    )
+    objects.put(own.union(foreign), NOW)
+    ObjectStore(s, f"{top}/objects", "other").put(own.limit(1), NOW)
+    return Collector(store, objects, target=d.PACK_BYTES)
+
+
+@query
+def gc_repacked_packs(s, sf):
+    """New packs made of stored bytes, each frame verified."""
+    c = _stored(s, sf)
+    made = gc.repack(c.plan(NOW).copies, c.objects, NOW, d.PACK_BYTES)
+    return made["packs"].select("pack", "size", "tier")
+
+
+@query
+def gc_run(s, sf):
+    """What a whole collection reports."""
+    report = _stored(s, sf).run(NOW)
+    return s.createDataFrame([(k, v) for k, v in report.items()], "measure string, value bigint")
+
+
+@query
+def gc_run_chunks(s, sf):
+    """The chunks of the version that a collection commits."""
+    c = _stored(s, sf)
+    c.run(NOW)
+    return c.store.load(strict=True)["chunks"].select("chunk", "pack", "offset", "csize", F.col("survived").cast("bigint").alias("survived"))
+
+
+@query
+def gc_report_line(s, sf):
+    n = F.col("p_partkey")
+    reports = d.table(s, sf, "part").select(
+        n, (n % 4).alias("packs_uploaded"), (n * 4571).alias("bytes_downloaded"), (n * 7).alias("bytes_uploaded"), (n % 3).alias("packs_touched"),
+        (n % 5).alias("packs_deleted"), (n % 2).alias("orphans_deleted"), (n % 6).alias("versions_deleted"), (n % 7).alias("version"),
+    )
+    return report_line(reports).select("p_partkey", "line")
 
 
 @query
@@ -385,10 +497,6 @@ def root_from_access_log(s, sf):
 @query
 def ingest_stream_replay(s, sf):
     """Add requests as a file stream, drained into a versioned store, then read back."""
-    import uuid
-
-    from cairn.session import shared_dir
-    from cairn.sources.store import VersionStore
     from cairn.streaming.ingest import drain
 
     top = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"

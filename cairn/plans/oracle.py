@@ -51,6 +51,19 @@ CTE: dict[str, tuple[list[str], str]] = {
     "tch": (["st", "cp", "lru"], f"SELECT pack, tier, live_bytes FROM st JOIN lru USING (pack) WHERE live_chunks > 0 AND pack NOT IN (SELECT pack FROM cp) AND lru <> 0 AND greatest({NOW} - lru, 0) > 4 * 86400"),
     "tchq": (["st", "cpq", "lru"], f"SELECT pack, tier, live_bytes FROM st JOIN lru USING (pack) WHERE live_chunks > 0 AND pack NOT IN (SELECT pack FROM cpq) AND lru <> 0 AND greatest({NOW} - lru, 0) > 4 * 86400"),
     "orp": (["op", "pk", "rc"], "SELECT DISTINCT key FROM op WHERE pack NOT IN (SELECT pack FROM pk) AND pack NOT IN (SELECT pack FROM rc)"),
+    # where copies go: per tier in order, sealed once an append reaches the target
+    "cpo": (["cp"], 'SELECT *, row_number() OVER (PARTITION BY tier ORDER BY pack, "offset") AS rn FROM cp'),
+    "pl": (["cpo"], """SELECT tier, chunk, pack, rn, 0::BIGINT AS no, 0::BIGINT AS offs, csize, survived FROM cpo WHERE rn = 1
+        UNION ALL SELECT c.tier, c.chunk, c.pack, c.rn, CASE WHEN pl.offs + pl.csize >= 20000 THEN pl.no + 1 ELSE pl.no END,
+          CASE WHEN pl.offs + pl.csize >= 20000 THEN 0 ELSE pl.offs + pl.csize END, c.csize, c.survived FROM pl JOIN cpo c ON c.tier = pl.tier AND c.rn = pl.rn + 1"""),
+    "np": (["pl"], "SELECT tier, no, sha256(string_agg(chunk, ',' ORDER BY offs)) AS pack, CAST(sum(csize) AS BIGINT) AS size FROM pl GROUP BY tier, no"),
+    "apc": (["ch", "lc", "pl", "np"], """SELECT ch.chunk, coalesce(np.pack, ch.pack) AS pack, coalesce(pl.offs, ch."offset") AS "offset", ch.csize, ch.survived + CASE WHEN pl.chunk IS NULL THEN 0 ELSE 1 END AS survived
+        FROM ch LEFT JOIN pl ON pl.chunk = ch.chunk LEFT JOIN np ON np.tier = pl.tier AND np.no = pl.no WHERE ch.chunk IN (SELECT chunk FROM lc)"""),
+    "prt": (["pk"], "SELECT pack FROM pk WHERE k % 4 = 1"),
+    "delp": (["del", "prt", "apc", "rc"], "SELECT pack FROM del WHERE pack NOT IN (SELECT pack FROM prt) AND pack NOT IN (SELECT pack FROM apc) AND pack NOT IN (SELECT pack FROM rc)"),
+    # bytes of chunks, and copies whose source has an object
+    "dat": (["fc"], "SELECT chunk, any_value(data) AS data FROM fc GROUP BY chunk"),
+    "bpk": (["pl", "dat"], "SELECT tier, no, sha256(string_agg(data, '' ORDER BY offs)) AS pack, CAST(sum(csize) AS BIGINT) AS size FROM pl JOIN dat USING (chunk) GROUP BY tier, no"),
     # spans with gaps, and the reads for them
     "sp": (["loc"], "SELECT * FROM (SELECT *, max(\"offset\" + csize) OVER (PARTITION BY pack) AS pack_end FROM loc) WHERE CAST('0x' || substr(chunk, 1, 4) AS BIGINT) % 3 <> 0"),
     "rn1": (["sp"], "SELECT *, sum(CASE WHEN \"offset\" <= reach + 256 THEN 0 ELSE 1 END) OVER (PARTITION BY pack ORDER BY \"offset\") AS run FROM (SELECT *, max(\"offset\" + csize) OVER (PARTITION BY pack ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp)"),
@@ -96,6 +109,16 @@ def sql(body: str, *needs: str, **own: tuple[list[str], str]) -> str:
     return f"WITH RECURSIVE {listed}\n{body}" if out else body
 
 
+#: The listing of a store whose packs are objects (none twice), and the copies whose source
+#: still has its object.
+STORED = {
+    "ob": (["pk"], f"""SELECT 'pack-' || pack AS key, created, CASE WHEN k % 5 = 0 THEN 0 ELSE {NOW} - k % 8 * 86400 END AS last_accessed FROM pk WHERE k % 9 <> 4
+        UNION ALL SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pack-' || p_partkey ELSE 'pack-' || sha256('orphan-' || p_partkey) END, {NOW} - p_partkey % 3 * 86400,
+          CASE WHEN p_partkey % 5 = 0 THEN {NOW} - 60 ELSE {NOW} - p_partkey % 9 * 86400 END FROM part"""),
+    "cpo": (["cp", "lru"], 'SELECT *, row_number() OVER (PARTITION BY tier ORDER BY pack, "offset") AS rn FROM cp WHERE pack IN (SELECT pack FROM lru)'),
+}
+
+
 ORACLES: dict[str, str] = {
     "live_set_by_root": sql(
         "SELECT root_key, count(*) AS paths, CAST(sum(nar_size) AS BIGINT) AS bytes FROM rm JOIN p USING (path) GROUP BY root_key UNION ALL SELECT '(all)', count(*), CAST(sum(nar_size) AS BIGINT) FROM p WHERE path IN (SELECT path FROM rch)", "rch"),
@@ -149,9 +172,24 @@ ORACLES: dict[str, str] = {
     "gc_touch_packs": sql("SELECT pack, row_number() OVER (ORDER BY tier, live_bytes, pack) - 1 AS ordinal FROM tchq", "tchq"),
     "gc_orphans": sql("SELECT key FROM orp", "orp"),
     "gc_plan_summary": sql("""SELECT 'download_bytes' AS measure, CAST(coalesce(sum(csize), 0) AS BIGINT) AS value FROM cp UNION ALL SELECT 'evicted', count(*) FROM ev UNION ALL SELECT 'heal', count(*) FROM heal
-        UNION ALL SELECT 'drop_roots', count(*) FROM dr UNION ALL SELECT 'drop_paths', count(*) FROM dp UNION ALL SELECT 'repack_copies', count(*) FROM cp UNION ALL SELECT 'delete_packs', count(*) FROM del
+        UNION ALL SELECT 'drop_roots', count(*) FROM dr UNION ALL SELECT 'drop_paths', count(*) FROM dp UNION ALL SELECT 'repack_jobs', count(DISTINCT tier) FROM cp UNION ALL SELECT 'repack_copies', count(*) FROM cp UNION ALL SELECT 'delete_packs', count(*) FROM del
         UNION ALL SELECT 'touch_packs', count(*) FROM tch UNION ALL SELECT 'orphans', count(*) FROM orp""", "cp", "ev", "heal", "dr", "dp", "del", "tch", "orp"),
-    "gc_apply_chunks": sql("SELECT chunk, csize, survived + CASE WHEN chunk IN (SELECT chunk FROM cp) THEN 1 ELSE 0 END AS survived FROM ch WHERE chunk IN (SELECT chunk FROM lc)", "ch", "lc", "cp"),
+    "gc_delete_packs_default": sql("SELECT pack FROM del", "del"),
+    "gc_touch_packs_default": sql("SELECT pack, row_number() OVER (ORDER BY tier, live_bytes, pack) - 1 AS ordinal FROM tch", "tch"),
+    "gc_plan_line": sql("""SELECT 'evicted ' || (SELECT count(*) FROM ev) || ' pack(s); heal ' || (SELECT count(*) FROM heal) || ' path(s); drop ' || (SELECT count(*) FROM dr) || ' root(s) + ' ||
+        (SELECT count(*) FROM dp) || ' path(s); repack ' || (SELECT count(DISTINCT tier) FROM cp) || ' job(s) (' || (SELECT count(*) FROM cp) || ' chunk(s), ' || (SELECT hb(b) FROM (SELECT CAST(sum(csize) AS BIGINT) AS b FROM cp)) ||
+        ' copied); touch ' || (SELECT count(*) FROM tch) || ' pack(s); delete ' || (SELECT count(*) FROM del) || ' pack(s) + ' || (SELECT count(*) FROM orp) || ' orphan(s)' AS line""", "cp", "ev", "heal", "dr", "dp", "del", "tch", "orp"),
+    "gc_apply_chunks": sql('SELECT chunk, pack, "offset", csize, survived FROM apc', "apc"),
+    "gc_apply_repacked": sql(f"SELECT pack, size, created, tier FROM pks WHERE pack IN (SELECT pack FROM apc) UNION ALL SELECT pack, size, {NOW}, tier FROM np", "pks", "apc", "np"),
+    "gc_guarded_deletes": sql("SELECT pack FROM delp", "delp"),
+    "gc_retained_orphans": sql("""SELECT DISTINCT key FROM ob WHERE NOT regexp_full_match(key, 'pack-[0-9a-f]{64}') OR (substr(key, 6) NOT IN (SELECT pack FROM prt)
+        AND substr(key, 6) NOT IN (SELECT pack FROM pks WHERE pack IN (SELECT pack FROM ch WHERE chunk IN (SELECT chunk FROM lc))))""", "ob", "prt", "pks", "ch", "lc"),
+    "gc_repacked_packs": sql("SELECT pack, size, tier FROM bpk", "bpk", **STORED),
+    "gc_run": sql("""SELECT 'packs_uploaded' AS measure, count(*) AS value FROM bpk UNION ALL SELECT 'bytes_downloaded', CAST(sum(size) AS BIGINT) FROM bpk UNION ALL SELECT 'bytes_uploaded', CAST(sum(size) AS BIGINT) FROM bpk
+        UNION ALL SELECT 'packs_touched', count(*) FROM tch UNION ALL SELECT 'packs_deleted', 0 UNION ALL SELECT 'orphans_deleted', count(*) FROM orp UNION ALL SELECT 'versions_deleted', 1 UNION ALL SELECT 'version', 2""", "bpk", "tch", "orp", **STORED),
+    "gc_run_chunks": sql('SELECT chunk, pack, "offset", csize, survived FROM apc', "apc", **STORED, np=(["bpk"], "SELECT tier, no, pack, size FROM bpk")),
+    "gc_report_line": """SELECT p_partkey, 'uploaded ' || p_partkey % 4 || ' pack(s) (' || hb(b) || ' down, ' || hb(u) || ' up); touched ' || p_partkey % 3 || ' pack(s); deleted ' || p_partkey % 5 || ' pack(s), ' || p_partkey % 2 || ' orphan(s), ' ||
+        p_partkey % 6 || ' old manifest version(s); manifest version: ' || CASE WHEN p_partkey % 7 = 0 THEN 'unchanged' ELSE CAST(p_partkey % 7 AS VARCHAR) END AS line FROM (SELECT p_partkey, p_partkey * 4571 AS b, p_partkey * 7 AS u FROM part)""",
     "gc_apply_packs": sql("SELECT pack, size, created, tier FROM pks WHERE pack IN (SELECT pack FROM ch WHERE chunk IN (SELECT chunk FROM lc))", "pks", "ch", "lc"),
     "manifest_versions_to_delete": """SELECT 'm3#' || p_partkey AS key, p_partkey AS idx FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 9 <> 0 AND p_partkey * 120 > 3600
         AND p_partkey < (SELECT max(p_partkey) FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0)""",
@@ -204,4 +242,5 @@ def _inline_human(body: str) -> str:
     return re.sub(r"hb\((\w+)\)", form, body)
 
 
-ORACLES["drain_summary"] = _inline_human(ORACLES["drain_summary"])
+for _name in ("drain_summary", "gc_plan_line", "gc_report_line"):
+    ORACLES[_name] = _inline_human(ORACLES[_name])

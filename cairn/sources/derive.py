@@ -15,6 +15,8 @@ NOW = 1706659200
 DAY = 86400
 PACK_BYTES = 20_000
 HOLE = 10_000_000
+#: Documents of a source that one task puts in order.
+RANGE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +81,14 @@ def first_seen(file_chunks: DataFrame) -> DataFrame:
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunks: chunk, pack, offset, csize, usize, survived (and k, the pack's number)."""
     first = first_seen(file_chunks(spark, sf_dir).drop("data"))
-    order = Window.partitionBy("source").orderBy("doc_id", "pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = first.withColumn("_at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # a source is summed by ranges of documents first, so that no task orders all of it
+    ranged = first.withColumn("_r", F.floor(F.col("doc_id") / RANGE))
+    sums = ranged.groupBy("source", "_r").agg(F.sum("size").alias("_n"))
+    upto = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("source", "_r", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("source", "_r").orderBy("doc_id", "pos")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = ranged.join(base, ["source", "_r"]).withColumn("_at", F.col("_base") + before)
     packed = run.withColumn("k", F.floor(F.col("_at") / PACK_BYTES))
     start = F.min("_at").over(Window.partitionBy("source", "k"))
     return packed.select(

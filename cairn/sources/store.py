@@ -7,9 +7,11 @@ merges onto the winner and tries the next number. Readers take the newest versio
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.functions.text import version_index  # noqa: F401  (the canonical form of names)
@@ -17,6 +19,27 @@ from cairn.functions.text import version_index  # noqa: F401  (the canonical for
 Catalog = dict[str, DataFrame]
 
 
+#: Error conditions of files that are there but damaged.
+DAMAGED = ("FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
+
+
+class Served:
+    """The version that readers are shown."""
+
+    def __init__(self, store: VersionStore):
+        self.store, self.number, self.tables = store, 0, {}
+
+    def set_version(self, n: int) -> None:
+        self.number, self.tables = n, self.store.load(n)
+
+    def set_if_newer(self, n: int) -> bool:
+        """Shows version ``n`` unless that would go back."""
+        if n <= self.number:
+            return False
+        self.set_version(n)
+        return True
+
+
 class CommitConflict(RuntimeError):
     """Every attempt lost against another writer."""
 
@@ -24,6 +47,7 @@ class CommitConflict(RuntimeError):
 class VersionStore:
     def __init__(self, spark: SparkSession, root: str, prefix: str, attempts: int = 60):
         self.spark, self.root, self.prefix, self.attempts = spark, root.rstrip("/"), prefix, attempts
+        self.conflicts: dict[int, int] = {}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,9 +71,15 @@ class VersionStore:
     def newest(self, floor: int = 0) -> int:
         return max([floor, *(n for n, _ in self.versions())])
 
+    def fullest(self, table: str = "paths") -> int:
+        """The readable version with the most rows of ``table``; of equal ones the newest."""
+        size = {n: self.load(n)[table].count() for n, _ in self.versions() if table in self.load(n)}
+        return max(size, key=lambda n: (size[n], n), default=0)
+
     def load(self, n: int | None = None, strict: bool = False) -> Catalog:
-        """The tables of a version; an empty catalog if there is none. ``strict`` refuses
-        an empty or unreadable one where the listing shows a version (the collector)."""
+        """The tables of a version; an empty catalog if there is none, or if its files are
+        no Parquet. Failures to reach the files are raised, since a writer would else
+        commit onto an empty catalog. ``strict`` refuses damaged and empty versions, too."""
         n = self.newest() if n is None else n
         out: Catalog = {}
         if n:
@@ -57,17 +87,22 @@ class VersionStore:
                 for s in self._fs.listStatus(self._path(self._at(n))):
                     name = s.getPath().getName()
                     out[name] = self.spark.read.parquet(f"{self._at(n)}/{name}")
-            except Exception:
-                if strict:
+            except PySparkException as e:
+                if strict or not (e.getCondition() or "").startswith(DAMAGED):
                     raise
                 return {}
             if strict and not out:
                 raise RuntimeError(f"version {n} is listed but empty")
         return out
 
-    def save(self, merge: Callable[[Catalog], Catalog | None], floor: int = 0) -> int:
+    def save(self, merge: Callable[[Catalog], Catalog | None], floor: int = 0, now: int | None = None) -> int:
         """Commits ``merge(current)`` as the next version and returns its number; None from
-        ``merge`` means that nothing changed and commits nothing."""
+        ``merge`` means that nothing changed and commits nothing.
+
+        The number is above ``floor`` and all numbers seen before, even if a later listing
+        no longer shows them. A lost race is counted in ``conflicts`` under its number, and
+        ``merge`` runs again on what won. ``now`` sets the version's clock (simulations).
+        """
         base = floor
         for _ in range(self.attempts):
             current = self.newest()
@@ -82,10 +117,22 @@ class VersionStore:
             if not self._fs.exists(final) and self._fs.rename(self._path(tmp), final):
                 inner = self._path(f"{self._at(base + 1)}/{tmp.rsplit('/', 1)[1]}")
                 if not self._fs.exists(inner):
+                    if now is not None:
+                        self._fs.setTimes(final, now * 1000, -1)
                     return base + 1
                 self._fs.delete(inner, True)  # renamed into a folder that had just come
             self._fs.delete(self._path(tmp), True)
-        raise CommitConflict(f"{self.attempts} attempts")
+            self.conflicts[base + 1] = self.conflicts.get(base + 1, 0) + 1
+        raise CommitConflict(f"{self.attempts} attempts; {self.conflicts}")
+
+    def wait_for(self, n: int, seconds: float, every: float = 0.2) -> bool:
+        """Whether version ``n`` or a later one appears within ``seconds``."""
+        end = time.monotonic() + seconds
+        while self.newest() < n:
+            if time.monotonic() >= end:
+                return False
+            time.sleep(every)
+        return True
 
     def protected(self, column: str = "pack", table: str = "packs") -> DataFrame:
         """Keys used by any version that is still there."""
