@@ -11,6 +11,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,7 @@ Catalog = dict[str, DataFrame]
 
 
 #: Error conditions of files that are there but damaged.
-DAMAGED = ("FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
+DAMAGED = ("CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
 
 
 class Served:
@@ -87,8 +88,8 @@ class VersionStore:
                 for s in self._fs.listStatus(self._path(self._at(n))):
                     name = s.getPath().getName()
                     out[name] = self.spark.read.parquet(f"{self._at(n)}/{name}")
-            except PySparkException as e:
-                if strict or not (e.getCondition() or "").startswith(DAMAGED):
+            except (PySparkException, Py4JJavaError) as e:
+                if strict or not any(condition in str(e) for condition in DAMAGED):
                     raise
                 return {}
             if strict and not out:
