@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.layout import greedy_packs, joined_blobs
+from cairn.session import checkpoint
 
 WINDOW = 64
 HASH = 32  # hex digits of a chunk key
@@ -108,20 +109,49 @@ def chunk_data(files: DataFrame, params: ChunkParams | None = None, keep_data: b
     return out if keep_data else out.drop("data")
 
 
-def sweep(files: DataFrame, averages: list[int], generation: str = "generation") -> DataFrame:
-    """Per average size: chunks, unique chunks, bytes, unique bytes and new bytes of the
-    last generation. ``files``: path, data, generation."""
+def _swept(files: DataFrame, avg: int, generation: str, keep: bool) -> DataFrame:
+    """Per chunk of one parameter set: n, size, g (the generation that first has it), data."""
+    named = files.select(F.concat_ws("|", F.col(generation).cast("string"), "path").alias("path"), "data")
+    cut = chunk_data(named, ChunkParams(avg // 4, avg, avg * 4), keep)
+    rows = cut.withColumn("g", F.split_part("path", F.lit("|"), F.lit(1)).cast("bigint"))
+    data = [F.first("data").alias("data")] if keep else []
+    first = F.min(F.struct("g", "path", "pos")).alias("f")
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), first, *data).select("chunk", "n", "size", "f.*", *(["data"] if keep else []))
+
+
+#: Bytes of a location in a catalog: digest, offset step and size; and of a pack's name.
+LOCATION_BYTES, PACK_BYTES = 28, 32
+
+
+def sweep(files: DataFrame, averages: list[int], generation: str = "generation", target: int = 64 << 20) -> DataFrame:
+    """Per average size: chunks, unique chunks, bytes, unique bytes, packed (compressed)
+    bytes, packs, index bytes and new bytes of the last generation. ``files``: path, data,
+    generation."""
     out = None
     for avg in averages:
-        cut = chunk_data(files.select(F.concat_ws("|", F.col(generation).cast("string"), "path").alias("path"), "data"), ChunkParams(avg // 4, avg, avg * 4), False)
-        rows = cut.withColumn("g", F.split_part("path", F.lit("|"), F.lit(1)).cast("bigint"))
-        per = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.min("g").alias("g"))
+        per = checkpoint(_swept(files, avg, generation, True))
+        packed = checkpoint(compress(per).select("chunk", "csize"))
+        order = packed.join(per.select("chunk", "path", "pos"), "chunk").select("chunk", F.lit(0).alias("builder"), "path", "pos", F.col("csize").alias("size"))
+        packs = greedy_packs(order, "builder", ["path", "pos"], target).agg(F.coalesce(F.max("pack_no") + 1, F.lit(0)).alias("packs"))
         top = per.agg(F.max("g").alias("top"))
-        one = per.join(F.broadcast(top)).agg(
+        sums = per.crossJoin(F.broadcast(top)).agg(
             F.lit(avg).alias("average"), F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("unique_chunks"),
             F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("size").alias("unique_bytes"),
             F.coalesce(F.sum(F.when(F.col("g") == F.col("top"), F.col("size"))), F.lit(0)).alias("last_new_bytes"),
         )
+        one = sums.crossJoin(packed.agg(F.sum("csize").alias("packed_bytes"))).crossJoin(packs)  # one row each
+        one = one.withColumn("index_bytes", F.col("unique_chunks") * LOCATION_BYTES + F.col("packs") * PACK_BYTES)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def sweep_generations(files: DataFrame, averages: list[int], generation: str = "generation") -> DataFrame:
+    """(average, generation, new_chunks, new_bytes): what each generation adds."""
+    out = None
+    for avg in averages:
+        one = _swept(files, avg, generation, False).groupBy(F.lit(avg).alias("average"), F.col("g").alias("generation")).agg(
+            F.count(F.lit(1)).alias("new_chunks"), F.sum("size").alias("new_bytes")
+        )
         out = one if out is None else out.union(one)
     return out
 

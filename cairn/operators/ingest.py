@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import count_noun, human_bytes, seconds, throughput, upstream_signed
+from cairn.functions.text import count_noun, human_bytes, pack_key, seconds, throughput, upstream_signed
 from cairn.operators.graph import query_closure
+from cairn.operators.layout import greedy_packs, joined_blobs
+from cairn.operators.merge import merge_chunks, merge_packs, merge_paths, merge_roots
+from cairn.session import checkpoint
+from cairn.sources.objects import ObjectStore
+from cairn.sources.store import VersionStore
 
 PATH_SHAPE = r"^[0-9a-f]{32}$"
 
@@ -128,3 +133,77 @@ def same_catalog(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows: a commit of one over the other is a no-op."""
     b = b.select(*a.columns)
     return a.exceptAll(b).limit(1).count() == 0 and b.exceptAll(a).limit(1).count() == 0
+
+
+def drain_total(drains: DataFrame) -> DataFrame:
+    """One row for the drains (turn, counters, manifest_version) of a shutdown: counters
+    added up, and the version of the last drain that committed one."""
+    added = ("paths_received", "pushed", "new_chunks", "packs_uploaded", "bytes_uploaded")
+    version = F.max_by("manifest_version", F.when(F.col("manifest_version") > 0, F.col("turn")))
+    return drains.agg(*[F.sum(c).alias(c) for c in added], F.coalesce(version, F.lit(0)).alias("manifest_version"))
+
+
+def is_populated(info: DataFrame) -> bool:
+    """Whether a source of path records answers at all."""
+    return info.limit(1).count() > 0
+
+
+def ingested(files: DataFrame, paths: DataFrame, catalog: dict[str, DataFrame], now: int, target: int) -> dict[str, DataFrame]:
+    """What a batch adds: paths, file_chunks, chunks, packs (with blob), all named anew.
+
+    ``paths`` (path, nar_hash, nar_size) are those to push, ``files`` (path, pos, chunk,
+    size, data) their chunks. Chunks that the catalog lacks are packed in order of (path,
+    pos), each once.
+    """
+    own = files.join(paths.select("path"), "path", "left_semi")
+    first = own.groupBy("chunk").agg(F.min(F.struct("path", "pos", "size")).alias("f")).select("chunk", "f.*")
+    fresh = checkpoint(first.join(catalog["chunks"].select("chunk"), "chunk", "left_anti").withColumn("builder", F.lit(0)))
+    placed = greedy_packs(fresh, "builder", ["path", "pos"], target)
+    data = own.select("chunk", "data").dropDuplicates(["chunk"])
+    rows = checkpoint(placed.join(data, "chunk"))
+    blobs = checkpoint(joined_blobs(rows, ["pack_no"], ["offset"], "data"))
+    where = rows.join(blobs.select("pack_no", F.col("digest").alias("pack")), "pack_no")
+    size = F.col("size").cast("bigint")
+    return {
+        "paths": paths.select("path", "nar_hash", "nar_size", F.lit(now).cast("bigint").alias("last_pushed"), F.lit(now).cast("bigint").alias("last_reachable")),
+        "file_chunks": own.select("path", "pos", "chunk"),
+        "chunks": where.select("chunk", "pack", "offset", size.alias("csize"), size.alias("usize"), F.lit(0).cast("bigint").alias("survived")),
+        "packs": blobs.select(F.col("digest").alias("pack"), "size", F.lit(now).cast("bigint").alias("created"), F.lit(0).alias("tier"), "blob"),
+    }
+
+
+def commit_batch(store: VersionStore, objects: ObjectStore, batch, root: DataFrame, now: int, target: int) -> int:
+    """Ingests a batch into the four tables of ``store`` and returns the version.
+
+    ``batch`` is a function of the current catalog that gives (paths to push, their files).
+    Packs are stored before the version that names them; a lost race merges again. A merge
+    that changes nothing but the clock of this run's own root (``root``: root_key, path,
+    updated, run_id) is not committed.
+    """
+    kinds = {
+        "paths": "path string, nar_hash string, nar_size bigint, last_pushed bigint, last_reachable bigint",
+        "file_chunks": "path string, pos bigint, chunk string",
+        "chunks": "chunk string, pack string, offset bigint, csize bigint, usize bigint, survived bigint",
+        "packs": "pack string, size bigint, created bigint, tier int",
+        "roots": "root_key string, path string, updated bigint, run_id string",
+    }
+
+    def merge(current):
+        spark = store.spark
+        have = {n: current[n] if n in current else spark.createDataFrame([], kind) for n, kind in kinds.items()}
+        paths, files = batch(have)
+        made = ingested(files, paths, have, now, target)
+        objects.put(made["packs"].select(pack_key(F.col("pack")).alias("key"), "blob"), now)
+        made["packs"] = made["packs"].drop("blob")
+        out = {
+            "paths": merge_paths(have["paths"], made["paths"]),
+            "file_chunks": have["file_chunks"].unionByName(made["file_chunks"].join(have["paths"].select("path"), "path", "left_anti")),
+            "chunks": merge_chunks(have["chunks"], made["chunks"]),
+            "packs": merge_packs(have["packs"], made["packs"]),
+            "roots": merge_roots(have["roots"].withColumn("version", F.lit(0)), root.withColumn("version", F.lit(1))),
+        }
+        clockless = lambda r: r.drop("updated")
+        same = all(same_catalog(have[n], out[n]) for n in ("paths", "chunks", "packs", "file_chunks"))
+        return None if same and same_catalog(clockless(have["roots"]), clockless(out["roots"])) else out
+
+    return store.save(merge, now=now)

@@ -86,6 +86,29 @@ def plan_rows(jobs: DataFrame, runners: dict[str, list[str]], prefix: str = "",
     )
 
 
+def checked_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`plan_rows` if each can be built; else raises with the first that
+    cannot: a system without labels, or a group of several systems or label lists."""
+    lost = rows.filter("unmapped").orderBy("line_no").limit(1).collect()
+    if lost:
+        raise MatrixError(f"no runner for system {lost[0]['system']!r}")
+    first = F.min_by(F.struct("system", "os"), "line_no")
+    lead = rows.filter("grp is not null").groupBy("grp").agg(first.alias("f"))
+    odd = (F.col("system") != F.col("f.system")) | (F.col("os") != F.col("f.os"))
+    mixed = rows.join(lead, "grp").filter(odd).orderBy("line_no").limit(1).collect()
+    if mixed:
+        r = mixed[0]
+        what = ("systems", r["f"]["system"], r["system"]) if r["system"] != r["f"]["system"] else ("runners", r["f"]["os"], r["os"])
+        raise MatrixError(f"group {r['grp']!r} mixes {what[0]} {what[1]!r} and {what[2]!r}")
+    return rows
+
+
+def emit_outputs(values: DataFrame, path: str) -> None:
+    """Appends ``values`` (name, value) as ``name=value`` lines, in order of name."""
+    lines = values.orderBy("name").select(F.concat("name", F.lit("="), "value").alias("value"))
+    lines.coalesce(1).write.mode("append").text(path)
+
+
 def collapse_groups(rows: DataFrame) -> DataFrame:
     """Matrix rows: a group is one row in the place of its first member.
 

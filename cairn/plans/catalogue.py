@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as txt
 from cairn.functions.versions import tag_key
-from cairn.operators import cdc, gc, graph, ingest, layout, matrix, merge, refnorm, report, serve
+from cairn.operators import cdc, gc, graph, ingest, layout, matrix, merge, refnorm, report, serve, trees
 from cairn.operators.collector import Collector, report_line
 from cairn.plans.oracle import ORACLES  # noqa: F401
 from cairn.session import checkpoint, shared_dir
@@ -685,6 +685,258 @@ def refnorm_positions(s, sf):
 
 @query
 def refnorm_restore(s, sf):
+    """Digests of the normalized and of the restored bytes, and the rewrites between them."""
     files = _referring(s, sf)
-    back = refnorm.restore(refnorm.normalize(files).join(files.select("path", "refs"), "path"))
-    return back.join(files.select("path", F.col("data").alias("own")), "path").select("path", (F.col("data") == F.col("own")).alias("same"))
+    made = checkpoint(refnorm.normalize(files))
+    back = refnorm.restore(made.join(files.select("path", "refs"), "path"))
+    norm = made.select("path", F.sha2("data", 256).alias("normalized"), F.size("rewrites").cast("bigint").alias("rewrites"))
+    return norm.join(back.select("path", F.sha2("data", 256).alias("restored")), "path")
+
+
+@query
+def cdc_reassembled(s, sf):
+    """Every file put together again from its chunks, whose offsets leave no gap."""
+    cut = cdc.chunk_data(_files(s, sf), SMALL)
+    back = layout.joined_blobs(cut, ["path"], ["pos"], "data")
+    gaps = cut.groupBy("path").agg(F.sum("size").alias("total"), F.max(F.col("offset") + F.col("size")).alias("end"))
+    return back.join(gaps, "path").select("path", "size", F.col("digest").alias("sha256"), (F.col("total") == F.col("end")).alias("whole"))
+
+
+@query
+def cdc_sweep_totals(s, sf):
+    """Bytes of a sweep do not depend on the chunk size; compressed ones are fewer."""
+    made = cdc.sweep(_files(s, sf), [512, 2048])
+    fewer = (F.col("packed_bytes") > 0) & (F.col("unique_bytes") <= F.col("bytes")) & (F.col("packs") == 1)
+    return made.select("average", "bytes", fewer.alias("sound"), (F.col("index_bytes") == F.col("unique_chunks") * 28 + 32).alias("indexed"))
+
+
+@query
+def cdc_sweep_generations(s, sf):
+    return cdc.sweep_generations(_files(s, sf), [1024])
+
+
+@query
+def zstd_round_trip(s, sf):
+    """Chunks cut out of packs by their places and decompressed again."""
+    first, frames = _frames(s, sf)
+    rows = checkpoint(frames.join(first.select("chunk", "source", "doc_id", "pos"), "chunk"))
+    packs = cdc.build_packs(rows, "source", ["doc_id", "pos"], d.PACK_BYTES)
+    narrow = rows.select("chunk", "source", "doc_id", "pos", F.col("csize").alias("size"))
+    at = layout.greedy_packs(narrow, "source", ["doc_id", "pos"], d.PACK_BYTES).select("chunk", "source", "pack_no", "offset", F.col("size").alias("csize"))
+    piece = F.expr("substring(blob, CAST(offset + 1 AS INT), CAST(csize AS INT))")
+    cut = at.join(packs.select("source", "pack_no", "blob"), ["source", "pack_no"]).select("chunk", piece.alias("frame"))
+    made = cdc.extract(cut.join(first.select("chunk", F.col("size").alias("usize")), "chunk"))
+    return made.select("chunk", "ok", F.sha2("data", 256).alias("sha256"))
+
+
+# -- objects ------------------------------------------------------------------------------
+def _objects(s, sf):
+    """Two overlapping puts, touches, deletions of present and absent keys, a put after a
+    deletion, and another namespace."""
+    store = ObjectStore(s, f"{shared_dir(s)}/objects-{uuid.uuid4().hex}")
+    i = F.col("doc_id")
+    docs = d.table(s, sf, "documents").select(F.format_string("%s-%d", F.when(i % 3 == 0, "m3").otherwise("pack"), i).alias("key"), F.col("text").cast("binary").alias("blob"), i)
+    store.put(docs.filter(i % 4 < 2), 1000)
+    store.put(docs.filter(i % 4 > 0), 2000)
+    store.touch(docs.filter(i % 5 == 0).select(F.concat("key", F.when(i % 10 == 0, "").otherwise("?")).alias("key")), 3000)
+    store.delete(docs.filter(i % 7 == 0).select("key"), 4000)
+    store.put(docs.filter(i % 21 == 0), 5000)
+    ObjectStore(s, store.root, "other").put(docs.filter(i < 9), 10)
+    return store
+
+
+@query
+def object_listing(s, sf):
+    return _objects(s, sf).listing("pack-").select("key", "size", "created", "accessed")
+
+
+@query
+def object_counts(s, sf):
+    """What puts, touches and deletions report."""
+    store = ObjectStore(s, f"{shared_dir(s)}/objects-{uuid.uuid4().hex}")
+    i = F.col("doc_id")
+    docs = d.table(s, sf, "documents").select(i.cast("string").alias("key"), F.lit(b"x").alias("blob"), i)
+    first, again = store.put(docs.filter(i % 2 == 0), 1), store.put(docs.filter(i % 3 == 0), 2)
+    gone = store.delete(docs.filter(i % 5 == 0).select("key"), 3)
+    twice = store.delete(docs.filter(i % 5 == 0).select("key"), 4)
+    touched = store.touch(docs.select("key"), 5)
+    listed = store.listed("", 1)
+    rows = [("first", first[0]), ("again", again[0]), ("bumped", again[1]), ("gone", gone), ("twice", twice), ("touched", touched), ("whole", int(listed is not None))]
+    return s.createDataFrame(rows, "step string, n bigint")
+
+
+@query
+def object_lookup(s, sf):
+    """Exact keys first, then the newest key of the first prefix that any key has."""
+    i = F.col("doc_id")
+    asked = d.table(s, sf, "documents").select(
+        i.alias("id"), F.format_string("pack-%d", i).alias("key"),
+        F.when(i % 2 == 0, F.array(F.format_string("none-%d", i), F.format_string("m3-%d", i % 10))).otherwise(F.array(F.lit("pack-9"), F.lit("m3"))).alias("restore"),
+    )
+    return _objects(s, sf).find(asked).select("id", F.coalesce("matched", F.lit("")).alias("matched"))
+
+
+@query
+def object_ranges(s, sf):
+    store = _objects(s, sf)
+    n = F.col("size")
+    ranges = store.listing().select("key", F.floor(n / 3).alias("start"), F.greatest(F.floor(n / 3), F.floor(n / 2)).alias("end"))
+    return store.read(ranges).select("key", F.sha2("data", 256).alias("sha256"))
+
+
+# -- trees and archives --------------------------------------------------------------------
+def _leaves(s, sf):
+    i = F.col("doc_id")
+    link = i % 11 == 0
+    docs = d.table(s, sf, "documents")
+    return docs.select(
+        F.col("source").alias("tree"), F.concat_ws("/", "lang", F.format_string("d%d", i % 10), F.format_string("%d.txt", i)).alias("path"),
+        F.when(link, "symlink").otherwise("regular").alias("kind"), (i % 7 == 0).alias("executable"),
+        F.when(~link, F.col("text").cast("binary")).alias("data"), F.when(link, F.format_string("../d0/%d.txt", i + 1)).alias("target"),
+    )
+
+
+@query
+def tree_flatten(s, sf):
+    return trees.flatten_tree(_leaves(s, sf)).select("tree", "path", "kind", "ordinal")
+
+
+@query
+def tree_build(s, sf):
+    """Nodes from bracketed events, which come from the flattened trees."""
+    nodes = checkpoint(trees.flatten_tree(_leaves(s, sf)).select("tree", "path", "kind", "ordinal"))
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    name = F.element_at(F.split("path", "/"), -1)
+    begin = nodes.select("tree", "ordinal", F.lit(0).alias("turn"), F.when(F.col("kind") == "directory", "start").otherwise(F.col("kind")).alias("kind"), name.alias("name"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    inside = nodes.filter("path <> ''").select("tree", "ordinal", F.explode(above).alias("path")).union(nodes.select("tree", "ordinal", "path"))
+    last = inside.groupBy("tree", "path").agg(F.max("ordinal").alias("ordinal"))
+    ends = last.join(nodes.filter("kind = 'directory'").select("tree", "path"), ["tree", "path"]).select("tree", "ordinal", (100 - depth).alias("turn"), F.lit("end").alias("kind"), name.alias("name"))
+    order = Window.partitionBy("tree").orderBy("ordinal", "turn")
+    return trees.build_tree(begin.union(ends).withColumn("seq", F.row_number().over(order))).select("tree", "path", "kind")
+
+
+@query
+def archive_digests(s, sf):
+    return trees.write_archives(trees.flatten_tree(_leaves(s, sf))).select("tree", "digest", "size")
+
+
+def _chain(s, sf):
+    """References to a third of the own id: every closure is a chain down to 0."""
+    i = F.col("doc_id")
+    docs = d.table(s, sf, "documents").select("doc_id")
+    return docs.filter("doc_id > 0").select(d.path_of(i).alias("src"), d.path_of(F.floor(i / 3)).alias("dst"))
+
+
+@query
+def closure_order_chain(s, sf):
+    return graph.closure_order(_chain(s, sf), d.members(s, sf), _starts(s, sf))
+
+
+@query
+def closure_export(s, sf):
+    """The export stream of a closure by windows: references first, each path framed."""
+    order = checkpoint(graph.closure_order(_chain(s, sf), d.members(s, sf), _starts(s, sf)))
+    docs = d.table(s, sf, "documents").select(d.path_of(F.col("doc_id")).alias("path"), F.col("text").cast("binary").alias("data")).join(order, "path")
+    roots = docs.select(F.col("path").alias("tree"), F.lit("").alias("path"), F.lit("regular").alias("kind"), F.lit(False).alias("executable"), "data", F.lit(None).cast("string").alias("target"))
+    archives = trees.write_archives(trees.flatten_tree(roots)).select(F.col("tree").alias("path"), "blob")
+    refs = _chain(s, sf).groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("references"))
+    paths = order.join(refs, "path", "left").select("path", F.coalesce("references", F.array().cast("array<string>")).alias("references"), F.lit(None).cast("string").alias("deriver"))
+    sized = docs.select(F.lit(0).alias("stream"), "path", "ordinal", F.octet_length("data").cast("bigint").alias("size"))
+    windows = layout.export_windows(sized, "stream", ["ordinal"], 8192).select("path", "ordinal", "window")
+    frames = trees.export_frames(paths, archives).join(windows, "path")
+    return layout.joined_blobs(frames, ["window"], ["ordinal"], "frame").select("window", "digest", "size")
+
+
+# -- serving, continued -----------------------------------------------------------------------
+@query
+def archives_served(s, sf):
+    """Requests by digest and hint against the shown and the newest version."""
+    p = d.paths(s, sf)
+    i = F.col("doc_id")
+    shown = p.filter(i % 5 != 0).select("path", "nar_hash", (i % 7 != 0).alias("sound"))
+    newest = p.filter(i % 25 != 0).select("path", "nar_hash", (i % 14 != 0).alias("sound"))
+    u = F.col("user_id")
+    asked = d.table(s, sf, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("at"), d.path_of(u).alias("_u"), F.when(u % 2 == 0, d.path_of(u)).otherwise(d.path_of(u + 1)).alias("hint"))
+    asked = asked.join(p.select(F.col("path").alias("_u"), "nar_hash"), "_u", "left").withColumn("nar_hash", F.coalesce("nar_hash", F.lit("none"))).drop("_u")
+    return serve.serve_archives(asked, shown, newest).select("id", F.coalesce("path", F.lit("")).alias("path"), "status")
+
+
+@query
+def cache_replay(s, sf):
+    u = F.col("user_id")
+    rows = d.table(s, sf, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), u.alias("item"), (u % 97 + 1).alias("size"))
+    return serve.lru_replay(rows, 2000).select("cache", "seq", "hit")
+
+
+# -- ingest, continued ---------------------------------------------------------------------------
+@query
+def ingest_full(s, sf):
+    """Two batches into paths, chunks, packs and roots, and the same again, which commits
+    nothing; the chunks' places at the end."""
+    top = f"{shared_dir(s)}/ingest-{uuid.uuid4().hex}"
+    store, objects = VersionStore(s, f"{top}/catalog", "m3"), ObjectStore(s, f"{top}/objects")
+    files = checkpoint(d.file_chunks(s, sf).select("doc_id", "path", "pos", "chunk", "size", F.col("data").cast("binary").alias("data")))
+    p = checkpoint(d.paths(s, sf))
+    i = F.col("doc_id")
+    versions = []
+    for turn, part in enumerate((i % 2 == 0, i % 3 == 0, i % 2 == 0)):
+        root = d.root_members(s, sf).filter("run_id = 'run-0'").withColumn("updated", F.lit(NOW + turn).cast("bigint"))
+
+        def batch(have, part=part):
+            push = p.filter(part).join(have["paths"].select("path"), "path", "left_anti").select("path", "nar_hash", "nar_size")
+            return push, files.filter(part).drop("doc_id")
+
+        versions.append(ingest.commit_batch(store, objects, batch, root, NOW, d.PACK_BYTES))
+    if versions != [1, 2, 2]:
+        raise RuntimeError(f"versions {versions}")
+    chunks = store.load()["chunks"]
+    return chunks.join(objects.listing("pack-").select(F.substring("key", 6, 64).alias("pack")), "pack", "left_semi").select("chunk", "pack", "offset", "csize")
+
+
+@query
+def drain_total(s, sf):
+    n = F.col("p_partkey")
+    drains = d.table(s, sf, "part").select(
+        n.alias("turn"), (n % 5).alias("paths_received"), (n % 4).alias("pushed"), (n % 9).alias("new_chunks"), (n % 3).alias("packs_uploaded"),
+        (n * 7).alias("bytes_uploaded"), F.when(n % 10 == 3, n).otherwise(0).alias("manifest_version"),
+    )
+    return ingest.drain_total(drains)
+
+
+@query
+def key_formats(s, sf):
+    """Keys, permits, namespaces and path lists."""
+    n = F.col("p_partkey")
+    t = n.cast("string")
+    h = F.sha2(t, 256)
+    args = F.when(n % 3 == 0, F.array(t, F.concat(t, F.lit(" x"))))
+    env = F.when(n % 3 == 1, F.concat(F.lit(" a  "), t, F.lit("\n b\t")))
+    return d.table(s, sf, "part").select(
+        n, txt.pack_key(h).alias("pack_key"), txt.root_key(t, F.lit("attr")).alias("root_key"), txt.family_key("m3", n).alias("family_key"),
+        txt.prefixed(F.when(n % 2 == 0, "").otherwise("checks.."), t).alias("attr"), F.array_join(txt.reference_hashes(F.array(F.concat(h, F.lit("-x")))), ",").alias("refs"),
+        txt.lenient_index(F.concat(F.lit("m3#"), F.when(n % 2 == 0, "00").otherwise("+"), t), "m3").alias("idx"),
+        F.array_join(txt.collect_paths(args, env), "|").alias("paths"), txt.chunk_permits(n * n * n * 97).alias("permits"),
+        txt.name_to_string(t.cast("binary")).alias("name"), txt.cache_version(F.when(n % 2 == 0, t), "family-2").alias("namespace"),
+        txt.clock_or_zero(F.when(n % 2 == 0, txt.format_timestamp(n * 1000)).otherwise(t)).alias("clock"),
+    )
+
+
+@query
+def fullest_version(s, sf):
+    """The version with the most paths, and the newest one."""
+    store = VersionStore(s, f"{shared_dir(s)}/fullest-{uuid.uuid4().hex}", "m3")
+    m = d.members(s, sf).select("path", "doc_id")
+    for part in ("doc_id % 2 = 0", "doc_id % 5 < 4", "doc_id % 3 = 0"):
+        store.save(lambda _, part=part: {"paths": m.filter(part)})
+    best = store.fullest()
+    return s.createDataFrame([(best, store.newest())], "fullest bigint, newest bigint").crossJoin(store.load(best)["paths"].agg(F.count(F.lit(1)).alias("paths")))
+
+
+@query
+def matrix_strict(s, sf):
+    """Groups that hold one system and one list of labels, checked before they collapse."""
+    n = F.col("line_no")
+    rows = _rows(s, sf).withColumn("grp", F.when(n % 5 == 0, F.concat_ws("-", "system", F.array_join("os", "+"))))
+    return matrix.collapse_groups(matrix.checked_rows(rows)).select("line_no", "name", "installables", "mixed")

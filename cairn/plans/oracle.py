@@ -227,6 +227,114 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _le(n: str) -> str:
+    """Hex of a number as eight bytes, the lowest first."""
+    return "(" + " || ".join(f"substr(printf('%016X', CAST({n} AS BIGINT)), {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
+def _str(x: str) -> str:
+    """Hex of a string in the wire format: length, bytes, zeros up to eight."""
+    return f"({_le(f'strlen({x})')} || hex(encode({x})) || repeat('00', CAST((8 - strlen({x}) % 8) % 8 AS INTEGER)))"
+
+
+def _words(*words: str) -> str:
+    """Hex of fixed words; a literal."""
+    out = ""
+    for w in words:
+        raw = w.encode()
+        out += (len(raw).to_bytes(8, "little") + raw + bytes(-len(raw) % 8)).hex().upper()
+    return f"'{out}'"
+
+
+_TREE = {
+    "lv": ([], """SELECT source AS tree, lang || '/d' || doc_id % 10 || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 11 = 0 THEN 'symlink' ELSE 'regular' END AS kind, doc_id % 7 = 0 AS x,
+        text, '../d0/' || (doc_id + 1) || '.txt' AS target FROM documents"""),
+    "nd": (["lv"], """SELECT tree, path, kind, x, text, target FROM lv UNION ALL SELECT DISTINCT tree, d, 'directory', false, NULL, NULL FROM
+        (SELECT tree, unnest(['', split_part(path, '/', 1), substr(path, 1, length(path) - length(split_part(path, '/', 3)) - 1)]) AS d FROM lv)"""),
+    "od": (["nd"], "SELECT *, row_number() OVER w - 1 AS ordinal, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS depth, lead(CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END, 1, 0) OVER w AS nxt FROM nd WINDOW w AS (PARTITION BY tree ORDER BY CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END)"),
+    "pc": (["od"], f"""SELECT tree, ordinal, CASE WHEN depth = 0 THEN {_words("nix-archive-1")} ELSE {_words("entry", "(", "name")} || {_str("string_split(path, '/')[-1]")} || {_words("node")} END ||
+        CASE kind WHEN 'directory' THEN {_words("(", "type", "directory")} WHEN 'symlink' THEN {_words("(", "type", "symlink", "target")} || {_str("target")}
+          ELSE {_words("(", "type", "regular")} || CASE WHEN x THEN {_words("executable", "")} ELSE '' END || {_words("contents")} || {_str("text")} END ||
+        CASE WHEN nxt > depth THEN '' ELSE repeat({_words(")", ")")}, CAST(depth - greatest(nxt, 1) + 1 AS INTEGER)) || CASE WHEN nxt = 0 THEN {_words(")")} ELSE '' END END AS piece FROM od"""),
+}
+
+#: Starts in order of their path; a node of their chains belongs to the first that reaches it.
+_CHAIN = {
+    "sr": ([], f"SELECT doc_id, row_number() OVER (ORDER BY {_DOC}) AS rk FROM documents WHERE doc_id % 50 = 0"),
+    "cn": (["sr"], "SELECT rk, doc_id AS id, 0 AS d FROM sr UNION ALL SELECT rk, id // 3, d + 1 FROM cn WHERE id > 0"),
+    "co": (["cn"], f"SELECT id, {_KEY.format('id')} AS path, row_number() OVER (ORDER BY rk, d DESC) - 1 AS ordinal FROM (SELECT id, min(rk) AS rk, arg_min(d, rk) AS d FROM cn GROUP BY id)"),
+}
+
+#: The life of an object: puts at 1000 and 2000, touches at 3000, deletions, puts at 5000.
+_OBJ = {
+    "ob": ([], """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'm3-' ELSE 'pack-' END || doc_id AS key, strlen(text) AS size, text, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN doc_id % 4 < 2 THEN 1000 WHEN doc_id % 4 > 0 THEN 2000 END WHEN doc_id % 21 = 0 THEN 5000 END AS created,
+        CASE WHEN doc_id % 7 = 0 THEN 5000 WHEN doc_id % 10 = 0 THEN 3000 WHEN doc_id % 4 = 1 THEN 2000 WHEN doc_id % 4 = 0 THEN 1000 ELSE 2000 END AS accessed FROM documents"""),
+    "lo": (["ob"], "SELECT * FROM ob WHERE created IS NOT NULL"),
+}
+
+_REF = {
+    "rt": (["e"], "SELECT src AS path, list_sort(list(DISTINCT dst)) AS refs FROM e GROUP BY src"),
+    "rf": (["rt"], f"SELECT rt.path, refs, substr(text, 1, 100) AS a, array_to_string(refs, '/') AS b, substr(text, 101) AS c FROM rt JOIN (SELECT {_DOC} AS path, text FROM documents) USING (path)"),
+}
+
+_BATCH = {
+    "b1": (["fc"], "SELECT chunk, min(ROW(path, pos)) AS fst, any_value(size) AS size, any_value(data) AS data, 1 AS batch FROM fc WHERE doc_id % 2 = 0 GROUP BY chunk"),
+    "b2": (["fc", "b1"], "SELECT chunk, min(ROW(path, pos)) AS fst, any_value(size) AS size, any_value(data) AS data, 2 AS batch FROM fc WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 AND chunk NOT IN (SELECT chunk FROM b1) GROUP BY chunk"),
+    "bo": (["b1", "b2"], "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY fst) AS rn FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2)"),
+    "bg": (["bo"], """SELECT batch, chunk, data, rn, 0::BIGINT AS no, 0::BIGINT AS offs, size FROM bo WHERE rn = 1 UNION ALL SELECT o.batch, o.chunk, o.data, o.rn, CASE WHEN bg.offs + bg.size >= 20000 THEN bg.no + 1 ELSE bg.no END,
+        CASE WHEN bg.offs + bg.size >= 20000 THEN 0 ELSE bg.offs + bg.size END, o.size FROM bg JOIN bo o ON o.batch = bg.batch AND o.rn = bg.rn + 1"""),
+    "bb": (["bg"], "SELECT batch, no, sha256(string_agg(data, '' ORDER BY offs)) AS pack FROM bg GROUP BY batch, no"),
+}
+
+ORACLES |= {
+    "refnorm_positions": sql("SELECT path, CAST(off AS BIGINT) AS \"offset\", CAST(i - 1 AS BIGINT) AS ref_index FROM (SELECT path, unnest(range(1, len(refs) + 1)) AS i, strlen(a) + 33 * (unnest(range(1, len(refs) + 1)) - 1) AS off FROM rf UNION ALL SELECT path, 1, strlen(a || b || c) FROM rf)", "rf", **_REF),
+    "refnorm_restore": sql("""SELECT path, sha256(a || array_to_string(list_transform(refs, lambda r: repeat(chr(0), 32)), '/') || c || repeat(chr(0), 32)) AS normalized, sha256(a || b || c || refs[1]) AS restored, CAST(len(refs) + 1 AS BIGINT) AS rewrites FROM rf""", "rf", **_REF),
+    "extract_verify": sql("SELECT chunk, true AS ok, any_value(size) AS bytes FROM fc GROUP BY chunk", "fc"),
+    "zstd_round_trip": sql("SELECT chunk, true AS ok, sha256(any_value(data)) AS sha256 FROM fc GROUP BY chunk", "fc"),
+    "cdc_reassembled": sql("SELECT path, nar_size AS size, nar_hash AS sha256, true AS whole FROM p WHERE nar_size > 0", "p"),
+    "cdc_sweep_totals": sql("SELECT unnest([512, 2048]) AS average, CAST(sum(nar_size) AS BIGINT) AS bytes, true AS sound, true AS indexed FROM p", "p"),
+    "object_listing": sql("SELECT key, size, created, accessed FROM lo WHERE key LIKE 'pack-%'", "lo", **_OBJ),
+    "object_counts": """SELECT 'first' AS step, count(*) FILTER (WHERE doc_id % 2 = 0) AS n FROM documents UNION ALL SELECT 'again', count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0) FROM documents
+        UNION ALL SELECT 'bumped', count(*) FILTER (WHERE doc_id % 6 = 0) FROM documents UNION ALL SELECT 'gone', count(*) FILTER (WHERE doc_id % 5 = 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0)) FROM documents UNION ALL SELECT 'twice', 0
+        UNION ALL SELECT 'touched', count(*) FILTER (WHERE doc_id % 5 <> 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0)) FROM documents UNION ALL SELECT 'whole', 0""",
+    "object_lookup": sql("""SELECT doc_id AS id, coalesce(k, '') AS matched FROM documents LEFT JOIN (SELECT id, arg_max(key, ROW(-turn, created, key)) AS k FROM
+        (SELECT doc_id AS id, 0 AS turn, 'pack-' || doc_id AS p, true AS whole FROM documents UNION ALL SELECT doc_id, 1, 'pack-' || doc_id, false FROM documents
+         UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 2 = 0 THEN 'm3-' || doc_id % 10 ELSE 'pack-9' END, false FROM documents UNION ALL SELECT doc_id, 3, 'm3', false FROM documents WHERE doc_id % 2 = 1) r
+        JOIN lo ON CASE WHEN whole THEN lo.key = p ELSE starts_with(lo.key, p) END GROUP BY id) ON id = doc_id""", "lo", **_OBJ),
+    "object_ranges": sql("SELECT key, sha256(from_hex(substr(hex(encode(text)), 2 * (size // 3) + 1, 2 * (greatest(size // 3, size // 2) - size // 3)))) AS sha256 FROM lo", "lo", **_OBJ),
+    "tree_flatten": sql("SELECT tree, path, kind, ordinal FROM od", "od", **_TREE),
+    "tree_build": sql("SELECT tree, path, kind FROM nd", "nd", **_TREE),
+    "archive_digests": sql("SELECT tree, sha256(from_hex(string_agg(piece, '' ORDER BY ordinal))) AS digest, CAST(sum(length(piece)) // 2 AS BIGINT) AS size FROM pc GROUP BY tree", "pc", **_TREE),
+    "closure_order_chain": sql("SELECT path, ordinal FROM co", "co", **_CHAIN),
+    "closure_export": sql(f"""SELECT no AS "window", sha256(from_hex(string_agg(frame, '' ORDER BY rn))) AS digest, CAST(sum(length(frame)) // 2 AS BIGINT) AS size FROM g JOIN f USING (id) GROUP BY no""", "g", "f", **_CHAIN,
+        oo=(["co"], "SELECT co.*, strlen(text) AS size, text, ordinal + 1 AS rn FROM co JOIN documents ON doc_id = id"),
+        g=(["oo"], "SELECT id, rn, 0::BIGINT AS no, size AS total FROM oo WHERE rn = 1 UNION ALL SELECT oo.id, oo.rn, CASE WHEN g.total + oo.size > 8192 THEN g.no + 1 ELSE g.no END, CASE WHEN g.total + oo.size > 8192 THEN oo.size ELSE g.total + oo.size END FROM g JOIN oo ON oo.rn = g.rn + 1"),
+        f=(["oo"], f"""SELECT id, {_le('1')} || {_words("nix-archive-1", "(", "type", "regular", "contents")} || {_str("text")} || {_words(")")} || {_le(str(0x4558494E))} || {_str("('/store/' || path)")} ||
+          CASE WHEN id = 0 THEN {_le('0')} ELSE {_le('1')} || {_str("('/store/' || " + _KEY.format('(id // 3)') + ")")} END || {_words("")} || {_le('0')} AS frame FROM oo""")),
+    "archives_served": sql("""SELECT id, CASE WHEN s0 THEN a0 WHEN s1 THEN a1 ELSE '' END AS path, CASE WHEN bad AND (at0, id) > min(CASE WHEN bad THEN ROW(at0, id) END) OVER (PARTITION BY nar_hash) THEN 'refused' ELSE st END AS status FROM
+        (SELECT *, st IN ('missing', 'corrupt') AS bad FROM (SELECT *, CASE WHEN s0 THEN 'served' WHEN s1 THEN 'reloaded' WHEN s1 IS NULL THEN 'missing' ELSE 'corrupt' END AS st FROM
+        (SELECT rq.id, rq.at0, rq.nar_hash, coalesce(h0.sound, n0.sound) AS s0, coalesce(h1.sound, n1.sound) AS s1, coalesce(h0.path, n0.path) AS a0, coalesce(h1.path, n1.path) AS a1 FROM rq
+          LEFT JOIN v0 h0 ON h0.nar_hash = rq.nar_hash AND h0.path = rq.hint LEFT JOIN i0 n0 ON n0.nar_hash = rq.nar_hash LEFT JOIN v1 h1 ON h1.nar_hash = rq.nar_hash AND h1.path = rq.hint LEFT JOIN i1 n1 ON n1.nar_hash = rq.nar_hash)))""", "rq", "v0", "v1", "i0", "i1",
+        rq=(["p"], f"SELECT event_id AS id, event_id AS at0, coalesce(nar_hash, 'none') AS nar_hash, CASE WHEN user_id % 2 = 0 THEN {_KEY.format('user_id')} ELSE {_KEY.format('(user_id + 1)')} END AS hint FROM events LEFT JOIN p ON p.doc_id = user_id"),
+        v0=(["p"], "SELECT path, nar_hash, doc_id % 7 <> 0 AS sound FROM p WHERE doc_id % 5 <> 0"),
+        v1=(["p"], "SELECT path, nar_hash, doc_id % 14 <> 0 AS sound FROM p WHERE doc_id % 25 <> 0"),
+        i0=(["v0"], "SELECT nar_hash, max(path) AS path, arg_max(sound, path) AS sound FROM v0 GROUP BY nar_hash"),
+        i1=(["v1"], "SELECT nar_hash, max(path) AS path, arg_max(sound, path) AS sound FROM v1 GROUP BY nar_hash")),
+    # an item is still held if the distinct items used since, and itself, fit the budget
+    "cache_replay": sql("SELECT cache, seq, prev IS NOT NULL AND size + coalesce((SELECT sum(y.size) FROM x y WHERE y.cache = x.cache AND y.seq > x.prev AND y.seq < x.seq AND (y.prev IS NULL OR y.prev <= x.prev)), 0) <= 2000 AS hit FROM x", "x",
+        x=([], "SELECT event_type AS cache, event_id AS seq, user_id AS item, user_id % 97 + 1 AS size, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS prev FROM events")),
+    "ingest_full": sql('SELECT chunk, pack, offs AS "offset", size AS csize FROM bg JOIN bb USING (batch, no)', "bg", "bb", **_BATCH),
+    "drain_total": """SELECT CAST(sum(p_partkey % 5) AS BIGINT) AS paths_received, CAST(sum(p_partkey % 4) AS BIGINT) AS pushed, CAST(sum(p_partkey % 9) AS BIGINT) AS new_chunks, CAST(sum(p_partkey % 3) AS BIGINT) AS packs_uploaded,
+        CAST(sum(p_partkey * 7) AS BIGINT) AS bytes_uploaded, max(CASE WHEN p_partkey % 10 = 3 THEN p_partkey ELSE 0 END) AS manifest_version FROM part""",
+    "key_formats": """SELECT p_partkey, 'pack-' || h AS pack_key, p_partkey || '#attr' AS root_key, 'm3#' || p_partkey AS family_key, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'checks.' END || p_partkey AS attr, substr(h, 1, 32) AS refs, p_partkey AS idx,
+        CASE p_partkey % 3 WHEN 0 THEN p_partkey || '|' || p_partkey || ' x' WHEN 1 THEN 'a|' || p_partkey || '|b' ELSE '' END AS paths, least(greatest(p_partkey * p_partkey * p_partkey * 97, 1), 1073741824) AS permits, CAST(p_partkey AS VARCHAR) AS name,
+        sha256('family-2' || CASE WHEN p_partkey % 2 = 0 THEN ':' || p_partkey ELSE '' END) AS namespace, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 1000 ELSE 0 END AS clock FROM (SELECT p_partkey, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part)""",
+    "fullest_version": "SELECT 2::BIGINT AS fullest, 3::BIGINT AS newest, count(*) AS paths FROM documents WHERE doc_id % 5 < 4",
+    "matrix_strict": sql("""SELECT min(line_no) AS line_no, arg_min(CASE WHEN line_no % 5 = 0 THEN g ELSE attr END, line_no) AS name, string_agg(drv_path || '^*', ' ' ORDER BY line_no) AS installables, false AS mixed
+        FROM (SELECT *, system || '-' || array_to_string(os, '+') AS g FROM mr WHERE os IS NOT NULL) GROUP BY CASE WHEN line_no % 5 = 0 THEN g ELSE 'j:' || line_no END""", "mr"),
+}
+
+
 def _inline_human(body: str) -> str:
     """Writes out hb(x), since a query is one statement without macros."""
     import re

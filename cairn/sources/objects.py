@@ -116,12 +116,13 @@ class ObjectStore:
     # -- reads ----------------------------------------------------------------
     def find(self, requests: DataFrame) -> DataFrame:
         """``requests`` (id, key, restore) with ``matched``: the key itself if it is there,
-        else of the first prefix in ``restore`` that any key has the newest such key.
+        else the newest key that begins with it, else of the first prefix in ``restore``
+        that any key has the newest such key.
 
         One equality join per length of prefix (no longer than a key).
         """
         there = checkpoint(self.listing().select(F.col("key").alias("_k"), "created"))
-        wanted = requests.select("id", F.posexplode(F.concat(F.array("key"), F.array_except("restore", F.array("key")))).alias("turn", "prefix"))
+        wanted = requests.select("id", F.posexplode(F.concat(F.array("key", "key"), F.array_except("restore", F.array("key")))).alias("turn", "prefix"))
         wanted = checkpoint(wanted.withColumn("_n", F.length("prefix")))
         hits = wanted.join(there, (F.col("turn") == 0) & (F.col("prefix") == F.col("_k"))).select("id", "turn", "_k", "created")
         for (n,) in wanted.filter("turn > 0").select("_n").distinct().collect():
