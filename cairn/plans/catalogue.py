@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from cairn.functions.versions import tag_key
 from cairn.operators import cdc, gc, graph, ingest, layout, matrix, merge, refnorm, report, serve, trees
 from cairn.operators.collector import Collector, report_line
 from cairn.plans.oracle import ORACLES  # noqa: F401
-from cairn.session import checkpoint, shared_dir
+from cairn.session import checkpoint, scratch
 from cairn.sources import derive as d
 from cairn.sources.derive import DAY, NOW
 from cairn.sources.objects import ObjectStore
@@ -253,7 +252,7 @@ def recent_packs(s, sf):
 def protected_packs(s, sf):
     """Packs of two versions that a store still holds; a third has been cleaned up."""
     p = checkpoint(d.packs(d.locations(s, sf)))
-    store = VersionStore(s, f"{shared_dir(s)}/protected-{uuid.uuid4().hex}", "m3")
+    store = VersionStore(s, scratch(s, "protected"), "m3")
     for day, part in ((9, "k % 5 = 0"), (1, "k % 3 = 0"), (0, "k % 2 = 0")):
         store.save(lambda _, part=part: {"packs": p.filter(part)}, now=NOW - day * DAY)
     store.cleanup(NOW, 7 * DAY)
@@ -367,7 +366,7 @@ def _stored(s, sf):
     object, some objects no version, and one lies in another namespace."""
     cat = _catalog(s, sf)
     cat = {n: checkpoint(t) for n, t in cat.items()}
-    top = f"{shared_dir(s)}/stored-{uuid.uuid4().hex}"
+    top = scratch(s, "stored")
     store, objects = VersionStore(s, f"{top}/catalog", "m3"), ObjectStore(s, f"{top}/objects")
     store.save(lambda _: {n: t.drop("k") for n, t in cat.items()}, now=NOW - 2 * DAY)
     data = d.file_chunks(s, sf).select("chunk", F.col("data").cast("binary").alias("data")).dropDuplicates(["chunk"])
@@ -499,7 +498,7 @@ def ingest_stream_replay(s, sf):
     """Add requests as a file stream, drained into a versioned store, then read back."""
     from cairn.streaming.ingest import drain
 
-    top = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    top = scratch(s, "stream")
     add = _requests(s, sf).select(F.to_json(F.struct(F.lit("add").alias("op"), F.array("path").alias("paths"))).alias("value"))
     add.repartition(3, "value").write.text(f"{top}/in")
     store = VersionStore(s, f"{top}/catalog", "m3")
@@ -733,7 +732,7 @@ def zstd_round_trip(s, sf):
 def _objects(s, sf):
     """Two overlapping puts, touches, deletions of present and absent keys, a put after a
     deletion, and another namespace."""
-    store = ObjectStore(s, f"{shared_dir(s)}/objects-{uuid.uuid4().hex}")
+    store = ObjectStore(s, scratch(s, "objects"))
     i = F.col("doc_id")
     docs = d.table(s, sf, "documents").select(F.format_string("%s-%d", F.when(i % 3 == 0, "m3").otherwise("pack"), i).alias("key"), F.col("text").cast("binary").alias("blob"), i)
     store.put(docs.filter(i % 4 < 2), 1000)
@@ -753,7 +752,7 @@ def object_listing(s, sf):
 @query
 def object_counts(s, sf):
     """What puts, touches and deletions report."""
-    store = ObjectStore(s, f"{shared_dir(s)}/objects-{uuid.uuid4().hex}")
+    store = ObjectStore(s, scratch(s, "objects"))
     i = F.col("doc_id")
     docs = d.table(s, sf, "documents").select(i.cast("string").alias("key"), F.lit(b"x").alias("blob"), i)
     first, again = store.put(docs.filter(i % 2 == 0), 1), store.put(docs.filter(i % 3 == 0), 2)
@@ -875,7 +874,7 @@ def cache_replay(s, sf):
 def ingest_full(s, sf):
     """Two batches into paths, chunks, packs and roots, and the same again, which commits
     nothing; the chunks' places at the end."""
-    top = f"{shared_dir(s)}/ingest-{uuid.uuid4().hex}"
+    top = scratch(s, "ingest")
     store, objects = VersionStore(s, f"{top}/catalog", "m3"), ObjectStore(s, f"{top}/objects")
     files = checkpoint(d.file_chunks(s, sf).select("doc_id", "path", "pos", "chunk", "size", F.col("data").cast("binary").alias("data")))
     p = checkpoint(d.paths(s, sf))
@@ -926,7 +925,7 @@ def key_formats(s, sf):
 @query
 def fullest_version(s, sf):
     """The version with the most paths, and the newest one."""
-    store = VersionStore(s, f"{shared_dir(s)}/fullest-{uuid.uuid4().hex}", "m3")
+    store = VersionStore(s, scratch(s, "fullest"), "m3")
     m = d.members(s, sf).select("path", "doc_id")
     for part in ("doc_id % 2 = 0", "doc_id % 5 < 4", "doc_id % 3 = 0"):
         store.save(lambda _, part=part: {"paths": m.filter(part)})
