@@ -86,7 +86,8 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     role, then text; repeated rows are all kept. Null role or text is empty; null conv_id
     is a conversation of its own. Other columns are ignored. ``spans`` gives start and
     length (code points) of the rendered text of each ``loss_role`` turn in
-    ``formatted``; no rows give no conversations.
+    ``formatted``; no rows give no conversations. Texts of any length are kept whole, but
+    a conversation is one row, so it must fit one value (2 GB).
     """
     clean = rows.select(
         "conv_id",

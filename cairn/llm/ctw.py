@@ -23,7 +23,6 @@ table's rows come first, and one pass with the state of one key follows.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.decontam import LOWER
 from cairn.llm.words import crc_mod
-from cairn.session import checkpoint, shared_dir, small_or_shuffled
+from cairn.session import checkpoint, scratch, small_or_shuffled
 
 DEPTH = 5
 NEAR = 3
@@ -655,7 +654,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     length are scored whole; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    top = f"{shared_dir(spark)}/ctw-{uuid.uuid4().hex}"
+    top = scratch(spark, "ctw")
     # writing the rows fixes their partition and place in it, which name their block
     text = F.col("text").cast("binary").alias("text")
     rows = _write(

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import checkpoint, shared_dir, small_or_shuffled
+from cairn.session import checkpoint, scratch, small_or_shuffled
 
 #: A merged shard has at most this many times the target, a longer single text aside.
 SLACK = 1.25
@@ -265,10 +265,10 @@ def shard_documents(docs: DataFrame, root: str | None = None, cfg: TierConfig |
     names, and the shard it ended in. Repeated rows and null ids are rows like others.
     Null and empty texts count no bytes; a text beyond the target makes a shard of its
     own size; an empty table gives an empty store. Without ``root`` a new store is made
-    in the session's shared folder.
+    in the session's shared folder, for as long as the application lives.
     """
     spark = docs.sparkSession
-    store = ShardStore(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", cfg)
+    store = ShardStore(spark, root or scratch(spark, "shards"), cfg)
     store.append(docs)
     store.compact(docs.schema)
     return store.read(docs.schema)
