@@ -11,6 +11,8 @@ from cairn.session import checkpoint, small_or_shuffled
 
 #: Bins of a source's ranking scale; the bin that holds the cut is ordered exactly.
 BINS = 4096
+#: Bins of a coarse one.
+COARSE = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -146,15 +148,25 @@ def pareto_mix(
             .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
         )
 
+    # the bin with the cut: among coarse bins first, then among the bins of that one, so that
+    # no task orders more than a few dozen sums of a source
     bins = ranked(narrow).filter("p > 0").groupBy("source", "bin", "due").agg(F.sum("size").alias("s"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        bins.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0)))
-        .filter((F.col("before") <= F.col("due")) & (F.col("before") + F.col("s") > F.col("due")))
-        .groupBy("source")
-        .agg(F.min_by(F.struct(F.col("bin").alias("cut_bin"), F.col("before").alias("cut_before")), F.col("bin")).alias("c"))
-        .select("source", "c.*")
-    )
+    bins = checkpoint(bins.withColumn("coarse", F.floor(F.col("bin") / COARSE)))
+
+    def cutting(sums: DataFrame, by: str) -> DataFrame:
+        """(source, ``by``, before) of the first entry that passes what is due."""
+        upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return (
+            sums.withColumn("before", F.col("base") + F.coalesce(F.sum("s").over(upto), F.lit(0)))
+            .filter((F.col("before") <= F.col("due")) & (F.col("before") + F.col("s") > F.col("due")))
+            .groupBy("source").agg(F.min_by(F.struct(by, "before"), F.col(by)).alias("c")).select("source", "c.*")
+        )
+
+    whole = bins.groupBy("source", "coarse", "due").agg(F.sum("s").alias("s")).withColumn("base", F.lit(0).cast("bigint"))
+    first = cutting(whole, "coarse").alias("c")
+    within = (F.col("b.source").eqNullSafe(F.col("c.source"))) & (F.col("b.coarse") == F.col("c.coarse"))
+    fine = bins.alias("b").join(first, within).select("b.source", "b.bin", "b.due", "b.s", F.col("c.before").alias("base"))
+    cut = cutting(fine, "bin").select("source", F.col("bin").alias("cut_bin"), F.col("before").alias("cut_before"))
     # inside the cutting bin: exact order, least rank first
     inside = Window.partitionBy("source").orderBy("q", "u", "h", "size")
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
