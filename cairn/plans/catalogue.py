@@ -894,6 +894,27 @@ def ingest_full(s, sf):
     return chunks.join(objects.listing("pack-").select(F.substring("key", 6, 64).alias("pack")), "pack", "left_semi").select("chunk", "pack", "offset", "csize")
 
 
+@query
+def request_replies(s, sf):
+    """What status and drain requests are told, per country's queue of requests."""
+    from cairn.streaming.ingest import replies
+
+    i, u = F.col("event_id"), F.col("user_id")
+    op = F.when(i % 23 == 0, "drain").when(i % 7 == 0, "status").otherwise("add")
+    log = d.table(s, sf, "events").select((u % 5).alias("queue"), i.alias("seq"), op.alias("op"), F.when(op == "add", (u % 40).cast("string")).alias("path"))
+    return replies(log)
+
+
+@query
+def access_sessions(s, sf):
+    """Runs of accesses to a path with pauses of less than three hours."""
+    from cairn.streaming.ingest import access_sessions as sessions
+
+    e = d.table(s, sf, "events").select(d.path_of(F.col("user_id")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    made = sessions(e, "3 hours", "1 hour")
+    return made.select("path", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("end"), "n")
+
+
 @query
 def drain_total(s, sf):
     n = F.col("p_partkey")

@@ -324,6 +324,11 @@ ORACLES |= {
     "cache_replay": sql("SELECT cache, seq, prev IS NOT NULL AND size + coalesce((SELECT sum(y.size) FROM x y WHERE y.cache = x.cache AND y.seq > x.prev AND y.seq < x.seq AND (y.prev IS NULL OR y.prev <= x.prev)), 0) <= 2000 AS hit FROM x", "x",
         x=([], "SELECT event_type AS cache, event_id AS seq, user_id AS item, user_id % 97 + 1 AS size, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS prev FROM events")),
     "ingest_full": sql('SELECT chunk, pack, offs AS "offset", size AS csize FROM bg JOIN bb USING (batch, no)', "bg", "bb", **_BATCH),
+    "request_replies": sql("""SELECT queue, seq, op, coalesce((SELECT count(DISTINCT path) FROM r a WHERE a.queue = r.queue AND a.op = 'add' AND a.seq < r.seq
+          AND a.seq > coalesce((SELECT max(x.seq) FROM r x WHERE x.queue = r.queue AND x.op = 'drain' AND x.seq < r.seq), -1)), 0) AS buffered FROM r WHERE op <> 'add'""", "r",
+        r=([], "SELECT user_id % 5 AS queue, event_id AS seq, CASE WHEN event_id % 23 = 0 THEN 'drain' WHEN event_id % 7 = 0 THEN 'status' ELSE 'add' END AS op, CAST(user_id % 40 AS VARCHAR) AS path FROM events")),
+    "access_sessions": sql(f"""SELECT path, min(us) AS "start", max(us) + 10800000000 AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN us - prev < 10800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY us) AS k FROM x) GROUP BY path, k""", "x",
+        x=([], f"SELECT {_KEY.format('user_id')} AS path, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events")),
     "drain_total": """SELECT CAST(sum(p_partkey % 5) AS BIGINT) AS paths_received, CAST(sum(p_partkey % 4) AS BIGINT) AS pushed, CAST(sum(p_partkey % 9) AS BIGINT) AS new_chunks, CAST(sum(p_partkey % 3) AS BIGINT) AS packs_uploaded,
         CAST(sum(p_partkey * 7) AS BIGINT) AS bytes_uploaded, max(CASE WHEN p_partkey % 10 = 3 THEN p_partkey ELSE 0 END) AS manifest_version FROM part""",
     "key_formats": """SELECT p_partkey, 'pack-' || h AS pack_key, p_partkey || '#attr' AS root_key, 'm3#' || p_partkey AS family_key, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'checks.' END || p_partkey AS attr, substr(h, 1, 32) AS refs, p_partkey AS idx,

@@ -126,6 +126,19 @@ class VersionStore:
             self.conflicts[base + 1] = self.conflicts.get(base + 1, 0) + 1
         raise CommitConflict(f"{self.attempts} attempts; {self.conflicts}")
 
+    def writable(self) -> bool:
+        """Whether a version could be committed: a folder can be made beside the others."""
+        probe = self._path(f"{self.root}/_probe-{uuid.uuid4().hex}")
+        try:
+            made = bool(self._fs.mkdirs(probe))
+        except Py4JJavaError as e:
+            if "AccessControlException" in str(e) or "Permission denied" in str(e):
+                return False
+            raise
+        if made:
+            self._fs.delete(probe, True)
+        return made
+
     def wait_for(self, n: int, seconds: float, every: float = 0.2) -> bool:
         """Whether version ``n`` or a later one appears within ``seconds``."""
         end = time.monotonic() + seconds
