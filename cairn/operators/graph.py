@@ -7,8 +7,10 @@ executor costs one round; nothing but row counts reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,26 +85,38 @@ def closure_levels(edges: DataFrame, members: DataFrame, most: int = 10_000) ->
 def closure_order(edges: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, ordinal): exact depth-first post-order of the closure of ``roots``.
 
-    Depth-first order is sequential by nature, so each closure is one group of Arrow
-    rows; the closure is cut out by :func:`reachable` first. Roots and references are
-    taken in ascending order, self-references skipped, cycles entered once.
+    Depth-first order is sequential by nature: the references of the closure, which
+    :func:`reachable` cuts out first, stream into one task in order and leave it in
+    batches. Roots and references are taken in ascending order, self-references skipped,
+    cycles entered once.
     """
-    import pandas as pd
-
     inside = reachable(edges, members, roots).select("path")
+    kept = edges.filter("src <> dst").join(inside.select(F.col("path").alias("dst")), "dst", "left_semi")
     own = (
-        inside.join(edges.withColumnRenamed("src", "path"), "path", "left")
+        inside.join(kept.withColumnRenamed("src", "path"), "path", "left")
         .join(roots.select(F.col("path"), F.lit(True).alias("root")).distinct(), "path", "left")
-        .withColumn("closure", F.lit(0).cast("int"))
+        .select("path", "dst", F.coalesce("root", F.lit(False)).alias("root"), F.lit(0).alias("closure"))
     )
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        alive = set(pdf.path)
-        refs = {p: sorted(set(g.dst.dropna()) & alive - {p}) for p, g in pdf.groupby("path")}
-        done, out = set(), []
-        for root in sorted(set(pdf.path[pdf.root.fillna(False).astype(bool)])):
-            stack = [] if root in done else [(root, iter(refs[root]))]
-            done.add(root)
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs: dict[str, list[str]] = {}
+        starts: list[str] = []
+        for batch in batches:
+            for path, dst, root in zip(*(batch.column(c).to_pylist() for c in ("path", "dst", "root")), strict=True):
+                if path not in refs:
+                    refs[path] = []
+                    if root:
+                        starts.append(path)
+                if dst is not None and refs[path][-1:] != [dst]:
+                    refs[path].append(dst)
+        done, out, at = set(), [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(range(at, at + len(out)), pa.int64())], ["path", "ordinal"])
+
+        for start in starts:
+            stack = [] if start in done else [(start, iter(refs[start]))]
+            done.add(start)
             while stack:
                 node, rest = stack[-1]
                 for r in rest:
@@ -113,6 +127,10 @@ def closure_order(edges: DataFrame, members: DataFrame, roots: DataFrame) -> Dat
                 else:
                     out.append(node)
                     stack.pop()
-        return pd.DataFrame({"path": out, "ordinal": range(len(out))})
+            if len(out) >= 10_000:
+                yield flush()
+                at, out = at + len(out), []
+        yield flush()
 
-    return own.groupBy("closure").applyInPandas(order, "path string, ordinal bigint")
+    dealt = own.repartition("closure").sortWithinPartitions("closure", "path", "dst")
+    return dealt.mapInArrow(order, "path string, ordinal bigint")
