@@ -1,4 +1,6 @@
+import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -39,7 +41,8 @@ class Tree:
             if len(node[0]) == self.depth:
                 self.w[node] = own
             else:
-                self.w[node] = math.log(0.5 * (math.exp(own) + math.exp(below[node])))
+                high, low = max(own, below[node]), min(own, below[node])
+                self.w[node] = high + math.log1p(math.exp(low - high)) - math.log(2)
             if node[0]:
                 up = (node[0][1:], node[1])
                 below[up] = below.get(up, 0.0) + self.w[node]
@@ -55,8 +58,8 @@ class Tree:
                 if d == self.depth:
                     p = own
                 else:
-                    beta = math.exp(kt_block(*a) - self.below.get(path[d], 0.0))
-                    p = (beta * own + p) / (beta + 1)
+                    share = 1 / (1 + math.exp(min(self.below.get(path[d], 0.0) - kt_block(*a), 700.0)))
+                    p = share * own + (1 - share) * p
             total += math.log10(p)
         return total
 
@@ -83,6 +86,41 @@ def test_against_the_plain_tree(spark):
         assert r.base_score == pytest.approx(sum(math.log10((tokens.count(x) + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None]))
 
 
+def test_the_query_against_the_plain_tree(spark, sf, tmp_path):
+    """The query itself over a table of forty documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id BETWEEN 60 AND 99")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in ctw.op7_context_tree_weighting(spark, str(tmp_path)).collect()}
+    texts = {r.doc_id: ctw.split_words((r.text or "").encode()) for r in docs.collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    tree, count = Tree(ctw.DEPTH), collections.Counter()
+    for i in texts.keys() - held:
+        tree.learn(ctw.coded(texts[i]))
+        count.update([*texts[i], None])
+    tree.weigh()
+    n, v = count.total(), len(count)
+    assert rows.keys() == texts.keys() and held
+    for i, w in texts.items():
+        r = rows[i]
+        assert r.held_out == (i in held) and (r.n_tokens, r.train_tokens) == (len(w) + 1, n)
+        assert r.n_known == sum(count[x] > 0 for x in [*w, None])
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None]))
+        assert r.score == pytest.approx(tree.score(ctw.coded(w)), rel=1e-6)
+
+
+def test_blocks_of_any_size_score_alike(spark, sf, monkeypatch):
+    """Parts cut into many blocks, and blocks handed on in parts, change no score."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").select("doc_id", "text", (F.col("doc_id") % 7 == 0).alias("held_out"))
+    plain = {r.doc_id: r for r in ctw.score_texts(docs.coalesce(1)).collect()}
+    for name, value in (("BLOCK", 20_000), ("HELD", 50), ("HELD_PAIRS", 2000), ("PIECE", 3000), ("MIX", 500)):
+        monkeypatch.setattr(ctw, name, value)
+    cut = {r.doc_id: r for r in ctw.score_texts(docs.repartition(5)).collect()}
+    assert cut.keys() == plain.keys()
+    for i, r in plain.items():
+        assert cut[i].score == pytest.approx(r.score, rel=1e-9) and cut[i].base_score == pytest.approx(r.base_score)
+        assert (cut[i].n_known, cut[i].n_tokens, cut[i].train_tokens) == (r.n_known, r.n_tokens, r.train_tokens)
+
+
 def test_probabilities_of_next_bytes_sum_to_one(spark):
     """Over all 256 next bytes of one context; unseen ones join with count 0."""
     seen = {b"abcde": {ord("f"): 5, ord("g"): 1}, b"zbcde": {ord("f"): 2}}
