@@ -246,6 +246,7 @@ def _words(*words: str) -> str:
     return f"'{out}'"
 
 
+# fixed values below: the words of the archive format and the marker of the export stream
 _TREE = {
     "lv": ([], """SELECT source AS tree, lang || '/d' || doc_id % 10 || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 11 = 0 THEN 'symlink' ELSE 'regular' END AS kind, doc_id % 7 = 0 AS x,
         text, '../d0/' || (doc_id + 1) || '.txt' AS target FROM documents"""),
